@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import group_split, term_frequency
+from loomtext.llm import group_split, lookalike, term_frequency
 from loomtext.operators.latest import latest
 from loomtext.sources.tables import table
 
@@ -80,5 +80,22 @@ def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
     return records.join(splits.select("group_id", "split"), "group_id").select("pair_id", "group_id", "split")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unique_tokens": p1_unique_tokens, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_splits": p2_splits}
+def _inputs(spark: SparkSession, sf: str) -> DataFrame:
+    cases = latest(table(spark, sf, "sample_predictions").select("case_id", "input", "predicted_at"), "case_id", "predicted_at")
+    return cases.select("case_id", F.when(F.col("input").isNotNull(), F.array(F.array("input"))).alias("sentences"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = lookalike.same_looking_pairs(valid_corpus(spark, sf, "paragraph_id", "sentences"), "paragraph_id")
+    inputs = lookalike.same_looking_pairs(_inputs(spark, sf), "case_id")
+    return tokens.withColumn("origin", F.lit("process_corpus")).unionByName(inputs.withColumn("origin", F.lit("sample_predictions"))).select("origin", "id_a", "id_b")
+
+
+def p5_spellings(spark: SparkSession, sf: str) -> DataFrame:
+    """Every token and input that is not canonical, and its canonical spelling."""
+    texts = valid_corpus(spark, sf, "sentences").unionByName(_inputs(spark, sf).select("sentences"))
+    return lookalike.canonical_spellings(texts)
+
+
+QUERIES = {"p1_found": p1_found, "p1_unique_tokens": p1_unique_tokens, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_splits": p2_splits, "p5_found": p5_found, "p5_spellings": p5_spellings}
 SQL = {"p1_found": P1_FOUND, "p1_unique_tokens": P1_UNIQUE_TOKENS, "p1_ngrams": P1_NGRAMS}
