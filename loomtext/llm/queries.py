@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import group_split, lookalike, term_frequency
+from loomtext.llm import cross_split, group_split, lookalike, term_frequency
 from loomtext.operators.latest import latest
 from loomtext.sources.tables import table
 
@@ -80,6 +80,30 @@ def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
     return records.join(splits.select("group_id", "split"), "group_id").select("pair_id", "group_id", "split")
 
 
+def _held() -> Column:
+    return F.when(F.col("split").isin("dev", "test"), True).when(F.col("split") == "train", False)
+
+
+def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return cross_split.overlapping(valid_corpus(spark, sf, "paragraph_id", "split", "sentences"), "paragraph_id", _held())
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = _overlaps(spark, sf)
+    return pairs.select(F.least("held_id", "train_id").alias("paragraph_a"), F.greatest("held_id", "train_id").alias("paragraph_b"))
+
+
+def p4_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Per split and source of the held-out record: records, records that recur in
+    train, and pairs, beside the sizes that split_meta claims."""
+    hit = _overlaps(spark, sf).groupBy(F.col("held_id").alias("paragraph_id")).agg(F.count("*").alias("pairs"))
+    held = valid_corpus(spark, sf, "paragraph_id", "source", "split").filter(F.col("split").isin("dev", "test"))
+    found = held.join(hit, "paragraph_id", "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("pairs").alias("recurring"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    meta = table(spark, sf, "split_meta").groupBy("shard", "source").agg(F.max_by(F.struct("n_train", "n_dev", "n_test"), "built_at").alias("m"))
+    claimed = meta.groupBy(F.col("source").alias("s")).agg(F.sum("m.n_train").alias("claimed_train"), F.sum("m.n_dev").alias("d"), F.sum("m.n_test").alias("t"))
+    return found.join(claimed, F.col("source").eqNullSafe(F.col("s")), "left").select("split", "source", "records", "recurring", "pairs", "claimed_train", F.when(F.col("split") == "dev", F.col("d")).otherwise(F.col("t")).alias("claimed_held"))
+
+
 def _inputs(spark: SparkSession, sf: str) -> DataFrame:
     cases = latest(table(spark, sf, "sample_predictions").select("case_id", "input", "predicted_at"), "case_id", "predicted_at")
     return cases.select("case_id", F.when(F.col("input").isNotNull(), F.array(F.array("input"))).alias("sentences"))
@@ -97,5 +121,5 @@ def p5_spellings(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.canonical_spellings(texts)
 
 
-QUERIES = {"p1_found": p1_found, "p1_unique_tokens": p1_unique_tokens, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_splits": p2_splits, "p5_found": p5_found, "p5_spellings": p5_spellings}
+QUERIES = {"p1_found": p1_found, "p1_unique_tokens": p1_unique_tokens, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_splits": p2_splits, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_spellings": p5_spellings}
 SQL = {"p1_found": P1_FOUND, "p1_unique_tokens": P1_UNIQUE_TOKENS, "p1_ngrams": P1_NGRAMS}
