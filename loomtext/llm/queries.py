@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import cross_split, group_split, lookalike, term_frequency
+from loomtext.llm import cross_split, group_split, lookalike, sentences, term_frequency
 from loomtext.operators.latest import latest
 from loomtext.sources.tables import table
 
@@ -80,6 +80,18 @@ def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
     return records.join(splits.select("group_id", "split"), "group_id").select("pair_id", "group_id", "split")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentence_ends(valid_corpus(spark, sf, "paragraph_id", "sentences"), "paragraph_id")
+
+
+def p3_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences beside the inner lists as stored, per source."""
+    rows = valid_corpus(spark, sf, "paragraph_id", "source", "sentences").filter("sentences is not null")
+    ends = sentences.sentence_ends(rows, "paragraph_id").groupBy("paragraph_id").agg(F.count("*").alias("n"))
+    held = rows.select("paragraph_id", "source", F.size(F.filter("sentences", lambda s: F.size(s) > 0)).alias("lists"))
+    return held.join(ends, "paragraph_id").groupBy("source").agg(F.count("*").alias("paragraphs"), F.sum("lists").alias("lists"), F.sum("n").alias("sentences"))
+
+
 def _held() -> Column:
     return F.when(F.col("split").isin("dev", "test"), True).when(F.col("split") == "train", False)
 
@@ -121,5 +133,5 @@ def p5_spellings(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.canonical_spellings(texts)
 
 
-QUERIES = {"p1_found": p1_found, "p1_unique_tokens": p1_unique_tokens, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_splits": p2_splits, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_spellings": p5_spellings}
+QUERIES = {"p1_found": p1_found, "p1_unique_tokens": p1_unique_tokens, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_by_source": p3_by_source, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_spellings": p5_spellings}
 SQL = {"p1_found": P1_FOUND, "p1_unique_tokens": P1_UNIQUE_TOKENS, "p1_ngrams": P1_NGRAMS}
