@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import cross_split, group_split, lookalike, sentences, term_frequency
+from loomtext.llm import cross_split, group_split, leakage, lookalike, sentences, term_frequency
 from loomtext.operators.latest import latest
 from loomtext.sources.tables import table
 
@@ -133,5 +133,21 @@ def p5_spellings(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.canonical_spellings(texts)
 
 
-QUERIES = {"p1_found": p1_found, "p1_unique_tokens": p1_unique_tokens, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_by_source": p3_by_source, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_spellings": p5_spellings}
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).select("doc_id", F.col("item").alias("item_id"))
+
+
+def p7_by_task(spark: SparkSession, sf: str) -> DataFrame:
+    """Per task and split: items, items that leaked, documents concerned, and pairs in which both halves did."""
+    hits = _leaks(spark, sf).select("doc_id", F.col("item").alias("item_id"), "head", "tail")
+    items = table(spark, sf, "eval_items").select("item_id", "task", "split")
+    per = hits.groupBy("item_id").agg(F.count("*").alias("documents"), F.count_if((F.col("head") > 0.5) & (F.col("tail") > 0.5)).alias("both_halves"))
+    return items.join(per, "item_id", "left").groupBy("task", "split").agg(F.count("*").alias("items"), F.count("documents").alias("leaked"), F.coalesce(F.sum("documents"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("both_halves"), F.lit(0)).alias("both_halves"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_unique_tokens": p1_unique_tokens, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_by_source": p3_by_source, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_spellings": p5_spellings, "p7_found": p7_found, "p7_by_task": p7_by_task}
 SQL = {"p1_found": P1_FOUND, "p1_unique_tokens": P1_UNIQUE_TOKENS, "p1_ngrams": P1_NGRAMS}
