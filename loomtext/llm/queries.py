@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import cross_split, group_split, leakage, lookalike, sentences, term_frequency
+from loomtext.llm import cross_split, group_split, leakage, lookalike, reading_level, sentences, term_frequency
 from loomtext.operators.latest import latest
 from loomtext.sources.tables import table
 
@@ -149,5 +149,20 @@ def p7_by_task(spark: SparkSession, sf: str) -> DataFrame:
     return items.join(per, "item_id", "left").groupBy("task", "split").agg(F.count("*").alias("items"), F.count("documents").alias("leaked"), F.coalesce(F.sum("documents"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("both_halves"), F.lit(0)).alias("both_halves"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unique_tokens": p1_unique_tokens, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_by_source": p3_by_source, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_spellings": p5_spellings, "p7_found": p7_found, "p7_by_task": p7_by_task}
+def _levels(spark: SparkSession, sf: str) -> DataFrame:
+    models = reading_level.train(table(spark, sf, "reading_samples"), "text", "lang", "level")
+    return reading_level.reading_levels(table(spark, sf, "documents"), "doc_id", "text", models)
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _levels(spark, sf).select("doc_id", "level")
+
+
+def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents per source, language and level."""
+    sources = table(spark, sf, "documents").select("doc_id", "source")
+    return _levels(spark, sf).join(sources, "doc_id").groupBy("source", "lang", "level").agg(F.count("*").alias("documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_unique_tokens": p1_unique_tokens, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_by_source": p3_by_source, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_spellings": p5_spellings, "p7_found": p7_found, "p7_by_task": p7_by_task, "p8_found": p8_found, "p8_profile": p8_profile}
 SQL = {"p1_found": P1_FOUND, "p1_unique_tokens": P1_UNIQUE_TOKENS, "p1_ngrams": P1_NGRAMS}
