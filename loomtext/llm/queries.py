@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import cross_split, group_split, leakage, lookalike, reading_level, sentences, term_frequency
+from loomtext.llm import cross_split, group_split, leakage, lookalike, packing, reading_level, sentences, term_frequency
 from loomtext.operators.latest import latest
 from loomtext.sources.tables import table
 
@@ -133,6 +133,19 @@ def p5_spellings(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.canonical_spellings(texts)
 
 
+def p6_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    """The container or containers of every document, for each kind of pack_capacity."""
+    kinds = {r["container"]: r["capacity_tokens"] for r in table(spark, sf, "pack_capacity").limit(1000).collect()}
+    return packing.pack(packing.token_sizes(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id", "tokens", kinds)
+
+
+def p6_usage(spark: SparkSession, sf: str) -> DataFrame:
+    """Per kind: containers, tokens in them and the share of room used."""
+    bins = p6_assignment(spark, sf).filter("bin is not null").groupBy("container", "capacity", "bin").agg(F.sum("piece_tokens").alias("t"))
+    per = bins.groupBy("container", "capacity").agg(F.count("*").alias("bins"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
+    return per.withColumn("used", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6))
+
+
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
 
@@ -164,5 +177,5 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
     return _levels(spark, sf).join(sources, "doc_id").groupBy("source", "lang", "level").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unique_tokens": p1_unique_tokens, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_by_source": p3_by_source, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_spellings": p5_spellings, "p7_found": p7_found, "p7_by_task": p7_by_task, "p8_found": p8_found, "p8_profile": p8_profile}
+QUERIES = {"p1_found": p1_found, "p1_unique_tokens": p1_unique_tokens, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_by_source": p3_by_source, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_spellings": p5_spellings, "p6_assignment": p6_assignment, "p6_usage": p6_usage, "p7_found": p7_found, "p7_by_task": p7_by_task, "p8_found": p8_found, "p8_profile": p8_profile}
 SQL = {"p1_found": P1_FOUND, "p1_unique_tokens": P1_UNIQUE_TOKENS, "p1_ngrams": P1_NGRAMS}
