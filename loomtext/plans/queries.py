@@ -1,4 +1,9 @@
 """Queries over the core operators, and the SQL that checks them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from loomtext.plans import corpus
+
+MODULES = [corpus]
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
