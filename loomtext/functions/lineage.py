@@ -38,3 +38,10 @@ def drop_cut(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its scan has fewer partitions than there are: rows
+    that cost much more to work on than to move. A large scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

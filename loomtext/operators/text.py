@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.functions.lineage import spread
+
 # The token classes, in the order in which they are tried, and the
 # abbreviations whose full stop ends no sentence.
 SPACE = r"\s\p{Z}\x0b\x1c-\x1f\x{85}"
@@ -78,7 +80,7 @@ def once(column: Column) -> Column:
 def tokenised(df: DataFrame, text: str = "text") -> DataFrame:
     """df with `tokens` instead of `text`, for rows with any text."""
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, cleaned(F.col(text)).alias("_t")).filter("_t is not null").select(*rest, once(typed_tokens(F.col("_t"))).alias("tokens"))
+    return spread(df).select(*rest, cleaned(F.col(text)).alias("_t")).filter("_t is not null").select(*rest, once(typed_tokens(F.col("_t"))).alias("tokens"))
 
 
 def with_sentences(df: DataFrame) -> DataFrame:

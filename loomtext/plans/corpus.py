@@ -162,7 +162,7 @@ SQL = {
     "tokenized_sentences": TOKENS_SQL + "SELECT doc_id, sent::BIGINT AS sent, string_agg(tok, ' ' ORDER BY pos) AS sentence FROM sents GROUP BY doc_id, sent",
     "stored_stats": """WITH s AS (SELECT source, list_filter(sentences, lambda x: len(x) > 0) AS s FROM process_corpus WHERE sentences IS NOT NULL), r AS (SELECT * FROM s WHERE len(s) > 0)
       SELECT source, count(*) AS paragraphs, sum(len(s))::BIGINT AS sentences, sum(len(flatten(s)))::BIGINT AS words, sum(list_sum(list_transform(flatten(s), lambda x: len(x))))::BIGINT AS characters FROM r GROUP BY source""",
-    "systematic_sample": "SELECT doc_id, (at // 7)::BIGINT AS k FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS at FROM documents) WHERE at % 7 = 0 ORDER BY at LIMIT 100",
+    "systematic_sample": "SELECT doc_id, (p // 7)::BIGINT AS k FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents) WHERE p % 7 = 0 ORDER BY p LIMIT 100",
     "split_sizes": "SELECT CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'dev' ELSE 'test' END AS split, count(*) AS rows, sum(coalesce(len(text), 0))::BIGINT AS chars FROM documents GROUP BY 1",
     "byte_budget": f"""WITH c AS (SELECT doc_id, translate(regexp_replace(text, '\\A[{_WS}]+|[{_WS}]+\\z', '', 'g'), chr(13) || chr(10), '  ') AS t FROM documents),
       n AS (SELECT doc_id, strlen(t) + 1 AS b, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS g FROM c WHERE t <> ''),
