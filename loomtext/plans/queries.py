@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomtext.plans import corpus, language
+from loomtext.plans import corpus, language, words
 
-MODULES = [corpus, language]
+MODULES = [corpus, language, words]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
