@@ -16,6 +16,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomtext.functions.lineage import cut, drop_cut
 
@@ -25,7 +26,7 @@ GIANTS = 1000
 BUCKETS = 64
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def word_key(words: pd.Series) -> pd.Series:
     """A word as its list file is read: lower case, `_` a blank, no surrounding
     blanks, no trailing `*n`, canonically composed. Null or nothing left: null."""
