@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def latest(df: DataFrame, key: str, at: str, *, prefer: Column | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Keep per `key` the row with the greatest `at`.
 
@@ -32,12 +40,10 @@ def latest(df: DataFrame, key: str, at: str, *, prefer: Column | None = None, br
     if not found["n"]:
         return df
     if found["n"] <= broadcast_rows and found["ties"] == 1:
-        keep = repeated.select(F.col("_k").alias("_lk"), F.col("_t").alias("_lt"))
-        return (
-            df.join(F.broadcast(keep), df[key] == F.col("_lk"), "left")
-            .filter(F.col("_lk").isNull() | (stamp == F.col("_lt")))
-            .drop("_lk", "_lt")
-        )
+        lk, lt = fresh(df, "_lk"), fresh(df, "_lt")
+        keep = repeated.select(F.col("_k").alias(lk), F.col("_t").alias(lt))
+        return df.join(F.broadcast(keep), df[key] == F.col(lk), "left").filter(F.col(lk).isNull() | (stamp == F.col(lt))).drop(lk, lt)
     order = [stamp.desc(), *([prefer.desc()] if prefer is not None else [])]
-    ranked = df.filter(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.filter("_rn = 1").drop("_rn").unionByName(df.filter(F.col(key).isNull()))
+    rn = fresh(df, "_rn")
+    ranked = df.filter(F.col(key).isNotNull()).withColumn(rn, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return ranked.filter(F.col(rn) == 1).drop(rn).unionByName(df.filter(F.col(key).isNull()))
