@@ -171,7 +171,7 @@ def _scan(share: float):
     return run
 
 
-def overlapping(df: DataFrame, key: str, held: Column, sentences: str = "sentences", *, share: float = 0.8, min_tokens: int = 8) -> DataFrame:
+def overlapping(df: DataFrame, key: str, held: Column, sentences: str = "sentences", *, share: float = 0.8, min_tokens: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """All pairs of a held-out record (`held` true) and a training record (`held`
     false) of which `share` of the longer one's tokens recur in the other in
     order, whole sentences apart: `held_id`, `train_id`, `coverage` (of the
@@ -180,7 +180,9 @@ def overlapping(df: DataFrame, key: str, held: Column, sentences: str = "sentenc
     `key` is a BIGINT, unique and not null. Rows with null `held`, null or empty
     `sentences`, or fewer than `min_tokens` tokens count nowhere; null inner lists
     and tokens are passed over; an empty side gives no rows. Copies are compared
-    once, by their least key, and their pairs listed at the end.
+    once, by their least key, and their pairs listed at the end. The ids of records
+    in any candidate pair are broadcast up to `broadcast_rows`, counted; beyond,
+    they are joined.
     """
     base = df.select(F.col(key).cast("bigint").alias("id"), held.alias("held"), F.col(sentences).alias("sentences")).filter("id is not null and held is not null")
     rows = cut(base.mapInArrow(_keys(min_tokens, share), "id bigint, held boolean, n bigint, s1 bigint, s2 bigint, keys array<bigint>"))
@@ -202,8 +204,9 @@ def overlapping(df: DataFrame, key: str, held: Column, sentences: str = "sentenc
     pairs = cut(met.filter(F.col("c") >= F.greatest(F.ceil(F.col("k") * KEY_SHARE) - F.floor(F.col("k") * KEY_SHARE / 2), F.lit(1))).select("e", "t").join(both, ["e", "t"], "left_anti"))
     drop_cut(shared)
 
-    wanted = pairs.select(F.col("e").alias("id")).union(pairs.select("t")).distinct()
-    texts = cut(base.join(wanted, "id", "left_semi").select("id", "sentences").mapInArrow(_texts, "id bigint, toks array<bigint>, ends array<bigint>"))
+    wanted = cut(pairs.select(F.col("e").alias("id")).union(pairs.select("t")).distinct())
+    few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
+    texts = cut(base.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").select("id", "sentences").mapInArrow(_texts, "id bigint, toks array<bigint>, ends array<bigint>"))
     full = pairs.join(texts.select(F.col("id").alias("t"), F.col("toks").alias("t_toks"), F.col("ends").alias("t_ends")), "t").join(texts.select(F.col("id").alias("e"), F.col("toks").alias("e_toks"), F.col("ends").alias("e_ends")), "e")
     near = cut(full.repartition("e").sortWithinPartitions("e").select("e", "t", "e_toks", "e_ends", "t_toks", "t_ends").mapInArrow(_scan(share), "e bigint, t bigint, coverage double").union(both))
     left = classes.filter("held").select(F.col("rep").alias("e"), F.col("id").alias("held_id"))
