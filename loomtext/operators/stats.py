@@ -15,20 +15,17 @@ def corpus_stats(sentences: DataFrame, *by: str) -> DataFrame:
     """Sentences, words, characters, averages, type/token ratio and distinct tokens
     of rows with `sentences` (array<array<struct<tok,type>>>), per group (G1, G2).
 
-    Tokens are counted per group first, so that distinct and total counts come
-    from one pre-aggregated table whatever the skew."""
-    words = sentences.select(*by, F.explode(F.flatten("sentences")).alias("t")).groupBy(*by, F.col("t.tok").alias("tok")).agg(F.count("*").alias("n"))
-    per_word = words.groupBy(*by).agg(F.sum("n").alias("total_words"), F.sum(F.col("n") * F.length("tok")).alias("total_characters"), F.count("*").alias("unique_tokens"))
-    per_row = sentences.groupBy(*by).agg(F.count("*").alias("paragraphs"), F.sum(F.size("sentences")).alias("total_sentences"))
-    if by:
-        k = per_word.select(*[F.col(b).alias(f"_{b}") for b in by], "total_words", "total_characters", "unique_tokens")
-        cond = None
-        for b in by:
-            c = F.col(b).eqNullSafe(F.col(f"_{b}"))
-            cond = c if cond is None else cond & c
-        both = per_row.join(k, cond)
-    else:
-        both = per_row.crossJoin(per_word)  # one row each
+    One scan and one shuffle: every row gives its tokens and one row without a token
+    for its sentences; tokens are counted per group first, so that distinct and total
+    counts come from one pre-aggregated table whatever the skew."""
+    none = F.struct(F.lit(None).cast("string").alias("tok"), F.size("sentences").alias("s"))
+    each = F.explode(F.concat(F.array(none), F.transform(F.flatten("sentences"), lambda t: F.struct(t["tok"].alias("tok"), F.lit(0).alias("s")))))
+    words = sentences.select(*by, each.alias("x")).groupBy(*by, "x.tok").agg(F.count("*").alias("n"), F.sum("x.s").alias("s"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    both = words.groupBy(*by).agg(
+        zero(F.sum(F.when(F.col("tok").isNull(), F.col("n")))).alias("paragraphs"), zero(F.sum("s")).alias("total_sentences"), zero(F.sum(F.when(F.col("tok").isNotNull(), F.col("n")))).alias("total_words"),
+        zero(F.sum(F.col("n") * F.length("tok"))).alias("total_characters"), F.count("tok").alias("unique_tokens"),
+    )
     return both.select(
         *by, "paragraphs", "total_sentences", "total_words", "total_characters", "unique_tokens",
         F.round(ratio(F.col("total_words"), F.col("total_sentences")), 6).alias("average_sentence_length"),

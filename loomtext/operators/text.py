@@ -38,7 +38,7 @@ def cleaned(text: Column) -> Column:
 def token_type(token: Column) -> Column:
     """The class of a token by its text (T1); a lone full stop ends a sentence."""
     return (
-        F.when(_is(token, WORD), "WORD").when(token == ".", "SENTEND").when(_is(token, PUNCT), "PUNCT")
+        F.when(_is(token, WORD), "WORD").when(token == ".", "SENTEND").when((F.length(token) == 1) & _is(token, PUNCT), "PUNCT")
         .when(_is(token, EMAIL), "EMAIL").when(_is(token, URL), "URL").when(_is(token, DATE), "DATE").when(_is(token, NUMBER), "NUMBER")
         .when(_is(token, ELLIPSIS), "ELLIPSIS").when(_is(token, SENTEND), "SENTEND").otherwise("OTHER")
     )
@@ -48,13 +48,21 @@ def typed_tokens(text: Column) -> Column:
     """array<struct<tok, type>> of a text; marks glued to a link's end become tokens
     of their own that end no sentence (T1, T2)."""
 
+    raw = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    linked = lambda t: (t.startswith("http") | t.startswith("www.")) & _is(t, URL)
+
     def split(token: Column) -> Column:
         base = F.rtrim(token, F.lit(URL_TAIL))
         tail = F.filter(F.split(F.substring(token, F.length(base) + 1, F.length(token)), ""), lambda c: c != "")
         link = F.concat(F.array(F.struct(base.alias("tok"), F.lit("URL").alias("type"))), F.transform(tail, lambda c: F.struct(c.alias("tok"), F.lit("PUNCT").alias("type"))))
-        return F.when(_is(token, URL), link).otherwise(F.array(F.struct(token.alias("tok"), token_type(token).alias("type"))))
+        return F.when(linked(token), link).otherwise(F.array(typed(token)))
+
+    def typed(token: Column) -> Column:
+        return F.struct(token.alias("tok"), token_type(token).alias("type"))
 
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), split))
+    # texts without a link, most of them, need no list for each token
+    some = text.contains("http") | text.contains("www.")
+    return F.when(some, F.flatten(F.transform(raw, split))).otherwise(F.transform(raw, typed))
 
 
 def sentences_of(tokens: Column) -> Column:
