@@ -186,14 +186,16 @@ def overlapping(df: DataFrame, key: str, held: Column, sentences: str = "sentenc
     """
     base = df.select(F.col(key).cast("bigint").alias("id"), held.alias("held"), F.col(sentences).alias("sentences")).filter("id is not null and held is not null")
     rows = cut(base.mapInArrow(_keys(min_tokens, share), "id bigint, held boolean, n bigint, s1 bigint, s2 bigint, keys array<bigint>"))
-    classes = cut(rows.select("id", "held", "s1", "s2").withColumn("rep", F.min("id").over(Window.partitionBy("s1", "s2", "held"))).select("id", "held", "rep", "s1", "s2"))
+    same = ["s1", "s2", "held"]
+    least = rows.groupBy(*same).agg(F.min("id").alias("rep"))
+    classes = cut(rows.select("id", *same).join(least, same))
     reps = classes.filter("id = rep")
     both = reps.groupBy("s1", "s2").agg(F.min(F.when(F.col("held"), F.col("rep"))).alias("e"), F.min(F.when(~F.col("held"), F.col("rep"))).alias("t")).filter("e is not null and t is not null").select("e", "t", F.lit(1.0).alias("coverage"))
 
     posting = rows.join(reps.select("id"), "id", "left_semi").select("id", "held", "n", F.explode(F.array_distinct("keys")).alias("key"), F.size(F.array_distinct("keys")).alias("k"))
-    by_key = Window.partitionBy("key")
-    ends = F.count(F.when(F.col("held"), 1)).over(by_key).alias("es"), F.count(F.when(~F.col("held"), 1)).over(by_key).alias("ts")
-    shared = cut(posting.select("*", *ends).filter("es > 0 and ts > 0"))
+    # counted with a map-side combine and joined back: no task sees all rows of a frequent key
+    ends = F.count(F.when(F.col("held"), 1)).alias("es"), F.count(F.when(~F.col("held"), 1)).alias("ts")
+    shared = cut(posting.join(posting.groupBy("key").agg(*ends).filter("es > 0 and ts > 0"), "key"))
     # of k keys of which KEY_SHARE must agree, the rarest k - need + 1 hold one that agrees; frequent keys are left out without loss
     need = F.greatest(F.ceil(F.col("k") * KEY_SHARE), F.lit(1))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("es") * F.col("ts"), "key"))

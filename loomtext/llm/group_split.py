@@ -23,7 +23,8 @@ from loomtext.functions.lineage import cut, drop_cut
 #: Components of more than one part in this many of all records are placed one
 #: by one; there can't be more of them than this.
 GIANTS = 1000
-BUCKETS = 64
+#: Groups of a band that are ranked by one task, about.
+RANKED = 200_000
 
 
 @F.pandas_udf(T.StringType())
@@ -114,7 +115,8 @@ def deal(groups: DataFrame, shares: dict[str, float], *, salt: int = 0) -> DataF
     position within a band is a bucket's offset plus the rank in the bucket: no
     task sees a whole band. No groups: no rows. Shares need not add up to 1.
     """
-    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    total, count = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0)), F.count("*")).first()
+    buckets = max(64, count // RANKED)
     wanted = {k: max(0.0, float(v or 0)) for k, v in sorted(shares.items())}
     scale = sum(wanted.values()) or 1.0
     need = {k: v / scale * total for k, v in wanted.items()}
@@ -131,7 +133,7 @@ def deal(groups: DataFrame, shares: dict[str, float], *, salt: int = 0) -> DataF
         edges.append((k, upto))
     draw = F.xxhash64("group_id", F.lit(salt))
     rest = groups.filter(~giant).select("group_id", "group_size", F.floor(F.log2("group_size")).cast("int").alias("band"), draw.alias("draw"))
-    rest = rest.withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)).cast("int"))
+    rest = rest.withColumn("bucket", F.pmod("draw", F.lit(buckets)).cast("int"))
     per = rest.groupBy("band", "bucket").agg(F.sum("group_size").alias("n"))
     by_band = Window.partitionBy("band")
     offsets = per.select("band", "bucket", (F.sum("n").over(by_band.orderBy("bucket")) - F.col("n")).alias("offset"), F.sum("n").over(by_band).alias("band_n"))

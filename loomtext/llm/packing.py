@@ -25,7 +25,8 @@ from loomtext.functions.lineage import cut
 #: The public pattern by which texts are split before the merges of a rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-BUCKETS = 64
+#: Rows that are ranked by one task, about.
+RANKED = 200_000
 
 
 @lru_cache(maxsize=4)
@@ -161,6 +162,7 @@ def pack(sizes: DataFrame, key: str, tokens: str, capacities: dict[str, int]) ->
     """
     spark = sizes.sparkSession
     held = cut(sizes.filter(F.col(key).isNotNull() & F.col(tokens).isNotNull()).select(F.col(key).alias("id"), F.col(tokens).cast("bigint").alias("t")))
+    buckets = max(64, held.count() // RANKED)
     kinds = [(str(k), int(c)) for k, c in sorted(capacities.items()) if k is not None and c and c > 0]
     each = F.array(*[F.struct(F.lit(n).alias("container"), F.lit(c).alias("capacity")) for n, c in kinds])
     out = held.filter("t <= 0").select("id", F.inline(each), F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("piece_tokens"), F.lit(None).cast("bigint").alias("bin")) if kinds else None
@@ -168,7 +170,7 @@ def pack(sizes: DataFrame, key: str, tokens: str, capacities: dict[str, int]) ->
         whole, over = F.floor(F.col("t") / c).cast("int"), F.col("t") % c
         parts = F.concat(F.transform(F.sequence(F.lit(1), whole), lambda i: F.struct((i - 1).alias("piece"), F.lit(c).cast("bigint").alias("size"))), F.when(over > 0, F.array(F.struct(whole.alias("piece"), over.alias("size")))).otherwise(F.array().cast("array<struct<piece:int,size:bigint>>")))
         parts = F.when(F.col("t") < c, F.array(F.struct(F.lit(0).alias("piece"), F.col("t").alias("size")))).otherwise(parts)
-        items = held.filter("t > 0").select("id", F.inline(parts)).withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(BUCKETS)).cast("int"))
+        items = held.filter("t > 0").select("id", F.inline(parts)).withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)).cast("int"))
         counts = cut(items.groupBy("size", "bucket").agg(F.count("*").alias("n")))
         histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most c rows
         patterns, _ = reduce_and_fit(histogram, c)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.functions.lineage import spread
 from loomtext.llm import cross_split, group_split, leakage, lookalike, packing, reading_level, sentences, term_frequency
 from loomtext.operators.latest import latest
 from loomtext.sources.tables import table
@@ -13,7 +14,7 @@ from loomtext.sources.tables import table
 def valid_corpus(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """The valid rows of process_corpus with the given columns."""
     need = dict.fromkeys(["paragraph_id", "ingested_at", *columns])
-    return latest(table(spark, sf, "process_corpus").select(*need), "paragraph_id", "ingested_at").select(*columns)
+    return latest(spread(table(spark, sf, "process_corpus").select(*need)), "paragraph_id", "ingested_at").select(*columns)
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,7 +137,7 @@ def p5_spellings(spark: SparkSession, sf: str) -> DataFrame:
 def p6_assignment(spark: SparkSession, sf: str) -> DataFrame:
     """The container or containers of every document, for each kind of pack_capacity."""
     kinds = {r["container"]: r["capacity_tokens"] for r in table(spark, sf, "pack_capacity").limit(1000).collect()}
-    return packing.pack(packing.token_sizes(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id", "tokens", kinds)
+    return packing.pack(packing.token_sizes(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text"), "doc_id", "tokens", kinds)
 
 
 def p6_usage(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,7 +148,7 @@ def p6_usage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return leakage.leaked_items(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+    return leakage.leaked_items(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,7 +165,7 @@ def p7_by_task(spark: SparkSession, sf: str) -> DataFrame:
 
 def _levels(spark: SparkSession, sf: str) -> DataFrame:
     models = reading_level.train(table(spark, sf, "reading_samples"), "text", "lang", "level")
-    return reading_level.reading_levels(table(spark, sf, "documents"), "doc_id", "text", models)
+    return reading_level.reading_levels(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", models)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:

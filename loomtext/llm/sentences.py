@@ -80,7 +80,7 @@ RULES: dict[str, list[tuple[str, str, bool]]] = {
     "zh": [_speaker(r"[他她我](?:們)?[說说問问]")],
     "ja": [_speaker(r"と.*(?:言った|話した|聞いた)")],
     "th": [(r"(?:ครับ|ค่ะ|คะ|จ้ะ|จ๊ะ)", r"(?![.!?⟫)])", BREAK)],
-    "Latin": [(r"\.{2,}", rf"{_words(_LATIN_JOIN)}\b".replace("(?i:", "(?:"), NO), _INITIAL, (r"^\p{Latin}\n\.", r"\p{Latin}\n\.", NO), (r"^\p{Latin}\n\.\n^\p{Latin}\n\.", r"\p{Ll}", NO)],
+    "Latin": [(r"\.{2,}", rf"(?:{'|'.join([*_LATIN_JOIN.split(), *_LATIN_JOIN.upper().split()])})\b", NO), _INITIAL, (r"^\p{Latin}\n\.", r"\p{Latin}\n\.", NO), (r"^\p{Latin}\n\.\n^\p{Latin}\n\.", r"\p{Ll}", NO)],
     "Indic": [(r"(?:^|\n)[।॥|]+", r"[^⟫)\]]", BREAK)],
     "common": [
         (r"(?:^|\n)\p{Nd}+\n\.", r"\p{Nd}+(?:%|\n|\Z)", NO),

@@ -121,6 +121,7 @@ CASES = [
     "「 ある空 。 」 と馬は言った 。 | その日 ！",
     "นี้ครับ | และนั้นโวงตา ถ้านี้ค่ะ | นั้น",
     "Heading without an end",
+    "THE DOG SAT ... AND DR . BO RAN ... | THE CAT . | ( HER HAT . )",
     "Тhе dоg ѕat​ . | Ｔｈｅ end ．",
 ]
 
