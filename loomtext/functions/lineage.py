@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where none is set."""
+    """The session's spark.checkpoint.dir. Only where none is set, as in tests on one
+    machine, a temporary folder that goes with the process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = f"file://{tempfile.gettempdir()}/loomtext"
+        own = tempfile.mkdtemp(prefix="loomtext-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
