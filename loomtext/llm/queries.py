@@ -178,5 +178,13 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
     return _levels(spark, sf).join(sources, "doc_id").groupBy("source", "lang", "level").agg(F.count("*").alias("documents"))
 
 
+_KEY = "nullif(trim(replace(lower(nfc_normalize(regexp_replace(trim({0}), '\\*[0-9]+$', ''))), '_', ' ')), '')"
+P2_FOUND = f"""
+WITH RECURSIVE r AS (SELECT DISTINCT pair_id, {_KEY.format('correct')} AS c, {_KEY.format('typo')} AS t FROM spell_results),
+e AS (SELECT a.pair_id AS a, b.pair_id AS b FROM r a JOIN r b ON a.c = b.c UNION SELECT a.pair_id, b.pair_id FROM r a JOIN r b ON a.t = b.t),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+g AS (SELECT a AS pair_id, min(b) AS group_id, count(*) AS n FROM reach GROUP BY a)
+SELECT pair_id, group_id FROM g WHERE n > 1"""
+
 QUERIES = {"p1_found": p1_found, "p1_unique_tokens": p1_unique_tokens, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_by_source": p3_by_source, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_spellings": p5_spellings, "p6_assignment": p6_assignment, "p6_usage": p6_usage, "p7_found": p7_found, "p7_by_task": p7_by_task, "p8_found": p8_found, "p8_profile": p8_profile}
-SQL = {"p1_found": P1_FOUND, "p1_unique_tokens": P1_UNIQUE_TOKENS, "p1_ngrams": P1_NGRAMS}
+SQL = {"p1_found": P1_FOUND, "p1_unique_tokens": P1_UNIQUE_TOKENS, "p1_ngrams": P1_NGRAMS, "p2_found": P2_FOUND}
