@@ -88,7 +88,8 @@ def segmented(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame
             yield pa.record_batch({key: b.column(0), "greedy": pa.array([None if t is None else " ".join(greedy(t, v, longest)) for t in texts], pa.string()), "dp": pa.array([None if t is None else " ".join(best_path(t, v, total, longest)) for t in texts], pa.string())})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, greedy string, dp string")
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    return df.select(key, text).repartition(parts).mapInArrow(run, f"{key} {kind}, greedy string, dp string")
 
 
 def agreement(truth: Column, found: Column) -> dict[str, Column]:

@@ -112,7 +112,8 @@ def candidates_within(typos: DataFrame, vocab: DataFrame, most: int = 2) -> Data
                 t, c, n, e = map(list, zip(*rows, strict=True))
                 yield pa.record_batch({"typo": pa.array(t), "cand": pa.array(c), "n": pa.array(n, pa.int64()), "edits": pa.array(e, pa.list_(pa.string()))})
 
-    return typos.select("typo").mapInArrow(run, "typo string, cand string, n bigint, edits array<string>")
+    parts = typos.sparkSession.sparkContext.defaultParallelism * 4  # a typo costs milliseconds
+    return typos.select("typo").repartition(parts).mapInArrow(run, "typo string, cand string, n bigint, edits array<string>")
 
 
 @F.pandas_udf(T.IntegerType())
