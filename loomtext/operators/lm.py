@@ -38,9 +38,16 @@ class Counts:
         self.contexts = {n: ngrams.context(self.tables[n], n) for n in (4, 3, 2)}
         self.n = self.tables[1].agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
         self.evals = four.filter("split <> 'train'").withColumnRenamed("c", "m")
+        self._scored = None
 
     def scored(self) -> DataFrame:
-        """Distinct scored 4-grams: split, w0..w3, m, c1..c4, cc2..cc4, kinds2..kinds4."""
+        """Distinct scored 4-grams: split, w0..w3, m, c1..c4, cc2..cc4, kinds2..kinds4
+        (J3 J4). The table is made once; every model reads it."""
+        if self._scored is None or self._scored[0] is not self.evals:
+            self._scored = (self.evals, cut(self._joined()))
+        return self._scored[1]
+
+    def _joined(self) -> DataFrame:
         out = self.evals
         for n in (4, 3, 2, 1):
             out = out.join(self.tables[n].withColumnRenamed("c", f"c{n}"), W[4 - n :], "left")

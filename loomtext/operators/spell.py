@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomtext.functions.lineage import cut
+
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 START = ">"
 UNSEEN = 0.5
@@ -38,7 +40,7 @@ def pairs_of(rows: DataFrame) -> DataFrame:
 
 
 def one_edit(typos: DataFrame) -> DataFrame:
-    """(typo, cand, label) of every string one edit away (P2 P3). What is kept of the
+    """(typo, cand, label) of every string one edit away, repeated ones included (P2 P3). What is kept of the
     typo before the edit must be letters; the rest is copied as it is."""
     x = F.col("typo")
     at = typos.select("typo", F.explode(F.sequence(F.lit(0), F.length(x))).alias("i")).select("typo", F.substring(x, F.lit(1), F.col("i")).alias("hd"), F.substring(x, F.col("i") + 1, F.length(x)).alias("tl"))
@@ -55,14 +57,24 @@ def one_edit(typos: DataFrame) -> DataFrame:
     there = F.col("tl") != ""
     deletes = F.when(there, F.array(edit(F.concat("hd", rest(2)), F.concat(p, t0, bar, p)))).otherwise(none)
     turns = F.when((F.length("tl") >= 2) & (t0 != t1), F.array(edit(F.concat("hd", t1, t0, rest(3)), F.concat(t0, t1, bar, t1, t0)))).otherwise(none)
-    return at.select("typo", F.inline(F.concat(inserts, F.when(there, swaps).otherwise(none), deletes, turns))).distinct()
+    return at.select("typo", F.inline(F.concat(inserts, F.when(there, swaps).otherwise(none), deletes, turns)))
+
+
+def _known(typos: DataFrame, vocab: DataFrame) -> DataFrame:
+    """one_edit() of the words of `vocab` (`cand`, ...), each once. Some hundred
+    strings come of a typo and few are words, so a vocabulary of up to MOST_WORDS
+    words, counted, is broadcast and only words are shuffled."""
+    held = cut(vocab)
+    few = held.limit(MOST_WORDS + 1).count() <= MOST_WORDS
+    spread = typos.repartition(typos.sparkSession.sparkContext.defaultParallelism * 4)
+    return one_edit(spread).join(F.broadcast(held) if few else held, "cand").distinct()
 
 
 def candidates(typos: DataFrame, vocab: DataFrame) -> DataFrame:
     """(typo, cand, n, edits): the words one edit away with each label, and the typo
     itself, without edits, where it is a word. `vocab` has `word` and `n`."""
     known = vocab.select(F.col("word").alias("cand"), "n")
-    near = one_edit(typos).join(known, "cand").select("typo", "cand", "n", F.array("label").alias("edits"))
+    near = _known(typos, known).select("typo", "cand", "n", F.array("label").alias("edits"))
     same = typos.select("typo", F.col("typo").alias("cand")).join(known, "cand").select("typo", "cand", "n", F.array().cast("array<string>").alias("edits"))
     return near.union(same)
 
@@ -139,7 +151,8 @@ def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def edit_counts(pairs: DataFrame, *by: str) -> DataFrame:
     """(edit, c): weights of the least label of every pair one edit apart."""
-    labels = one_edit(pairs.select("typo").distinct()).withColumnRenamed("cand", "correct")
+    words = pairs.select(F.col("correct").alias("cand")).distinct()
+    labels = _known(pairs.select("typo").distinct(), words).withColumnRenamed("cand", "correct")
     least = pairs.join(labels, ["typo", "correct"]).groupBy("typo", "correct", "weight", *by).agg(F.min("label").alias("edit"))
     return least.groupBy("edit", *by).agg(F.sum("weight").alias("c"))
 
