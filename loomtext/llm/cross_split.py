@@ -1,13 +1,14 @@
 """Problem 4: same or nearly same records across splits.
 
-Records are compared by normalised tokens (canonical characters, lower case). A
-record's keys are windows of three tokens: all windows of a short record, and of
-a long one those around its rarest-looking tokens, of which two records that
-share four fifths of their tokens must have one in common. Keys shared by both
-sides route training records to the shard of the evaluation passages they may
-repeat. Each shard lays its passages out in an Aho-Corasick automaton, scans the
-training records routed to it, and merges the matched intervals into a coverage
-of each passage; what is covered enough is compared exactly.
+Records are compared by normalised tokens (canonical characters, lower case). Two
+records that share four fifths of the longer one's tokens, in whatever order, have
+one in common among the rarest fifth (and one) of each: these tokens are a record's
+keys, and a bound on the tokens that differ, from parities of token hashes, drops
+most pairs that meet by chance. Neither step can lose a pair. Keys route training
+records to the shard of the evaluation passages they may repeat. Each shard lays
+its passages out in an Aho-Corasick automaton, scans the training records routed to
+it, and merges the matched intervals into a coverage of each passage, which is
+reported; whether a pair counts is decided by an exact comparison.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.arrow import tokens_of
@@ -27,13 +29,10 @@ from loomtext.functions.lineage import cut, drop_cut
 from loomtext.llm.lookalike import mix, sequence_keys, table_form, token_hash
 
 WINDOW = 3
-#: Records of up to this many tokens give all their windows as keys.
-SHORT = 31
-#: Least share of the fewer keys of two records that must agree: a fifth of the
-#: tokens changed at random leaves about 0.4 of the windows intact.
-KEY_SHARE = 0.15
-#: Least part of a passage that intact windows must cover; see KEY_SHARE.
-COVERAGE = 0.3
+#: Longs of token parities kept of each record.
+SIGNATURE = 4
+#: Tokens that occur more often than this are ranked by how often; see _prefixes.
+FREQUENT = 50
 _STOP = re.compile(r"[.!?…。！？।॥|۔؟።፡]+\Z")
 
 
@@ -46,34 +45,55 @@ def _normalised(batch: pa.RecordBatch, column: int) -> tuple[list[str], np.ndarr
     return vocabulary, codes[drawn], row[drawn]
 
 
-def _keys(min_tokens: int, share: float):
+def _hashed(min_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vocabulary, codes, row = _normalised(batch, 2)
             if not len(codes):
                 continue
-            size = np.bincount(row, minlength=batch.num_rows)
-            keep = size[row] >= min_tokens
+            keep = np.bincount(row, minlength=batch.num_rows)[row] >= min_tokens
             codes, row = codes[keep], row[keep]
             if not len(codes):
                 continue
             starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            n = np.diff(np.r_[starts, len(row)])
             h = token_hash(vocabulary)[codes]
-            length = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))[codes]
-            order = np.lexsort((h, -length, row))
-            rank = np.empty(len(row), np.int64)
-            rank[order] = np.arange(len(row)) - np.repeat(starts, n)
-            wanted = n - np.ceil(share * n - 1e-9).astype(np.int64) + 1
-            anchor = (rank < np.repeat(wanted, n)) | (np.repeat(n, n) <= SHORT)
-            first, last = np.repeat(starts, n), np.repeat(starts + n - 1, n)
-            centre = np.unique(np.clip(np.arange(len(row)), first + 1, last - 1)[anchor])
-            with np.errstate(over="ignore"):
-                key = mix(h[centre - 1] + mix(h[centre] + mix(h[centre + 1] + np.uint64(1)))).view(np.int64)
-            per = np.bincount(row[centre], minlength=batch.num_rows)[row[starts]]
             s1, s2 = sequence_keys(h, starts)
             pick = pa.array(row[starts])
-            yield pa.record_batch({"id": batch.column(0).take(pick), "held": batch.column(1).take(pick), "n": pa.array(n, pa.int64()), "s1": pa.array(s1), "s2": pa.array(s2), "keys": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)], pa.int32()), pa.array(key))})
+            yield pa.record_batch({"id": batch.column(0).take(pick), "held": batch.column(1).take(pick), "s1": pa.array(s1), "s2": pa.array(s2), "toks": pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)], pa.int32()), pa.array(h.view(np.int64)))})
+
+    return run
+
+
+def _prefixes(share: float, known: np.ndarray, often: np.ndarray):
+    """(id, held, token hashes) to (id, held, n, signature, keys). The second one of
+    a token in a record is an element of its own. Any order of elements that all
+    records agree on is right; rare ones first makes few pairs meet. `known`:
+    frequent tokens, sorted, and how `often` they occur; others count as rare."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toks = batch.column(2)
+            h, row = np.asarray(toks.flatten()), np.asarray(pc.list_parent_indices(toks)).astype(np.int64)
+            if not len(h):
+                continue
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
+            nth = np.arange(len(h)) - np.repeat(first, np.diff(np.r_[first, len(h)]))
+            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            freq = np.where(known[at] == h, often[at], 0) if len(known) else np.zeros(len(h), np.int64)
+            with np.errstate(over="ignore"):
+                element = mix(h.view(np.uint64) + mix(nth.astype(np.uint64) + np.uint64(1)))
+            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            n = np.diff(np.r_[starts, len(row)])
+            bits = np.bincount((np.repeat(np.arange(len(starts)), n) * 64 * SIGNATURE) + (element % np.uint64(64 * SIGNATURE)).astype(np.int64), minlength=len(starts) * 64 * SIGNATURE) & 1
+            signature = np.packbits(bits.astype(np.uint8).reshape(len(starts), -1), axis=1).view(np.int64)
+            order = np.lexsort((element, freq, row))
+            rank = np.arange(len(row)) - np.repeat(starts, n)
+            wanted = n - np.ceil(share * n - 1e-9).astype(np.int64) + 1
+            keys = element.view(np.int64)[order][rank < np.repeat(wanted, n)]
+            pick = pa.array(row[starts])
+            yield pa.record_batch({"id": batch.column(0).take(pick), "held": batch.column(1).take(pick), "n": pa.array(n, pa.int64())} | {f"b{i}": pa.array(signature[:, i].copy()) for i in range(SIGNATURE)} | {"keys": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(wanted)], pa.int32()), pa.array(keys))})
 
     return run
 
@@ -157,21 +177,22 @@ def _scan(share: float):
                     for e, i in at:
                         if e in routed[t]:
                             hits[e].add(i)
-                for e, begins in hits.items():
+                for e in sorted(routed[t]):
+                    e_toks, e_ends = passages[e]
+                    if not alike(e_toks, e_ends, toks, ends, share):
+                        continue
                     covered, upto = 0, 0
-                    for i in sorted(begins):
+                    for i in sorted(hits[e]):
                         covered += i + WINDOW - max(i, upto)
                         upto = i + WINDOW
-                    e_toks, e_ends = passages[e]
-                    if covered >= COVERAGE * len(e_toks) and alike(e_toks, e_ends, toks, ends, share):
-                        out.append((e, t, covered / len(e_toks)))
+                    out.append((e, t, covered / len(e_toks)))
             if out:
                 yield pa.record_batch({"e": pa.array([x[0] for x in out], pa.int64()), "t": pa.array([x[1] for x in out], pa.int64()), "coverage": pa.array([x[2] for x in out], pa.float64())})
 
     return run
 
 
-def overlapping(df: DataFrame, key: str, held: Column, sentences: str = "sentences", *, share: float = 0.8, min_tokens: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
+def overlapping(df: DataFrame, key: str, held: Column, sentences: str = "sentences", *, share: float = 0.8, min_tokens: int = 8, broadcast_rows: int = 1_000_000, frequent_tokens: int = 50_000) -> DataFrame:
     """All pairs of a held-out record (`held` true) and a training record (`held`
     false) of which `share` of the longer one's tokens recur in the other in
     order, whole sentences apart: `held_id`, `train_id`, `coverage` (of the
@@ -182,29 +203,32 @@ def overlapping(df: DataFrame, key: str, held: Column, sentences: str = "sentenc
     and tokens are passed over; an empty side gives no rows. Copies are compared
     once, by their least key, and their pairs listed at the end. The ids of records
     in any candidate pair are broadcast up to `broadcast_rows`, counted; beyond,
-    they are joined.
+    they are joined. The `frequent_tokens` most frequent tokens only set the order in
+    which tokens become keys; the result does not depend on it.
     """
     base = df.select(F.col(key).cast("bigint").alias("id"), held.alias("held"), F.col(sentences).alias("sentences")).filter("id is not null and held is not null")
-    rows = cut(base.mapInArrow(_keys(min_tokens, share), "id bigint, held boolean, n bigint, s1 bigint, s2 bigint, keys array<bigint>"))
+    rows = cut(base.mapInArrow(_hashed(min_tokens), "id bigint, held boolean, s1 bigint, s2 bigint, toks array<bigint>"))
     same = ["s1", "s2", "held"]
     least = rows.groupBy(*same).agg(F.min("id").alias("rep"))
     classes = cut(rows.select("id", *same).join(least, same))
     reps = classes.filter("id = rep")
     both = reps.groupBy("s1", "s2").agg(F.min(F.when(F.col("held"), F.col("rep"))).alias("e"), F.min(F.when(~F.col("held"), F.col("rep"))).alias("t")).filter("e is not null and t is not null").select("e", "t", F.lit(1.0).alias("coverage"))
 
-    posting = rows.join(reps.select("id"), "id", "left_semi").select("id", "held", "n", F.explode(F.array_distinct("keys")).alias("key"), F.size(F.array_distinct("keys")).alias("k"))
-    # counted with a map-side combine and joined back: no task sees all rows of a frequent key
-    ends = F.count(F.when(F.col("held"), 1)).alias("es"), F.count(F.when(~F.col("held"), 1)).alias("ts")
-    shared = cut(posting.join(posting.groupBy("key").agg(*ends).filter("es > 0 and ts > 0"), "key"))
-    # of k keys of which KEY_SHARE must agree, the rarest k - need + 1 hold one that agrees; frequent keys are left out without loss
-    need = F.greatest(F.ceil(F.col("k") * KEY_SHARE), F.lit(1))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("es") * F.col("ts"), "key"))
-    rare = shared.withColumn("rn", rank).filter(F.col("rn") <= F.col("k") - need + 1)
-    e = rare.filter("held").select("key", F.col("id").alias("e"), F.col("n").alias("en"), F.col("k").alias("ek"))
-    t = rare.filter("not held").select("key", F.col("id").alias("t"), F.col("n").alias("tn"), F.col("k").alias("tk"))
-    met = e.join(t, (e.key == t.key) & (F.least("en", "tn") >= F.greatest("en", "tn") * share - 1e-9)).groupBy("e", "t").agg(F.count("*").alias("c"), F.min(F.least("ek", "tk")).alias("k"))
-    pairs = cut(met.filter(F.col("c") >= F.greatest(F.ceil(F.col("k") * KEY_SHARE) - F.floor(F.col("k") * KEY_SHARE / 2), F.lit(1))).select("e", "t").join(both, ["e", "t"], "left_anti"))
-    drop_cut(shared)
+    one = cut(rows.join(reps.select("id"), "id", "left_semi").select("id", "held", "toks"))
+    drop_cut(rows)
+    often = one.select(F.explode("toks").alias("w")).groupBy("w").count().filter(F.col("count") > FREQUENT).orderBy(F.desc("count"), "w").limit(frequent_tokens).collect()
+    known = np.array(sorted((r[0], r[1]) for r in often), np.int64).reshape(-1, 2)
+    bits = [f"b{i}" for i in range(SIGNATURE)]
+    posting = one.mapInArrow(_prefixes(share, known[:, 0].copy(), known[:, 1].copy()), "id bigint, held boolean, n bigint, " + "".join(f"{b} bigint, " for b in bits) + "keys array<bigint>")
+    posting = cut(posting).select("id", "held", "n", *bits, F.explode("keys").alias("key"))
+    e = posting.filter("held").select("key", F.col("id").alias("e"), F.col("n").alias("en"), *(F.col(b).alias(f"e{b}") for b in bits))
+    t = posting.filter("not held").select("key", F.col("id").alias("t"), F.col("n").alias("tn"), *(F.col(b).alias(f"t{b}") for b in bits))
+    need = F.ceil(F.greatest("en", "tn") * share - 1e-9)
+    # each element in one of two records only flips a bit: no fewer differ than bits do
+    differ = sum((F.bit_count(F.col(f"e{b}").bitwiseXOR(F.col(f"t{b}"))) for b in bits), F.lit(0))
+    met = e.join(t, "key").filter((F.least("en", "tn") >= need) & (differ <= F.col("en") + F.col("tn") - 2 * need))
+    pairs = cut(met.select("e", "t").distinct().join(both, ["e", "t"], "left_anti"))
+    drop_cut(one)
 
     wanted = cut(pairs.select(F.col("e").alias("id")).union(pairs.select("t")).distinct())
     few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows

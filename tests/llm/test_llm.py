@@ -197,6 +197,32 @@ def test_moved_sentences_count():
     assert not cross_split.alike(a, ends, sorted(b, reverse=True), [], 0.8)
 
 
+def pairs_of(spark, rows):
+    df = spark.createDataFrame([(i, [t], a) for i, t, a in rows], "paragraph_id long, sentences array<array<string>>, split string")
+    return {(r["held_id"], r["train_id"]) for r in cross_split.overlapping(df, "paragraph_id", F.col("split") == "dev").collect()}
+
+
+def test_no_candidate_is_lost_up_to_a_fifth(spark):
+    """Copies without their longest tokens, and with a token taken out and another put in by turns, so that hardly a window is left."""
+    rng, rows = random.Random(4), []
+    for i in range(60):
+        n = rng.randint(10, 60)
+        a = [f"{i}x{k}" + "y" * rng.randint(0, 6) for k in range(n)]
+        if i % 2:
+            b, longest = list(a), sorted(range(n), key=lambda k: -len(a[k]))
+            for k in longest[: n // 5]:
+                b[k] = f"new{i}n{k}"
+        else:
+            b = list(a)
+            for c in range(n // 5):
+                b[5 * c] = f"in{i}n{c}"
+                b[5 * c], b[5 * c + 2] = b[5 * c + 1], b[5 * c]
+                b[5 * c + 1] = a[5 * c + 2]
+        assert lcs(a, b) >= 0.8 * n - 1e-9
+        rows += [(2 * i, a, "dev"), (2 * i + 1, b, "train")]
+    assert pairs_of(spark, rows) == {(2 * i, 2 * i + 1) for i in range(60)}
+
+
 # 5 -------------------------------------------------------------------------------------------------
 def test_table_form():
     assert lookalike.table_form("ｈｉｓ") == "his" and lookalike.table_form("рrevolutісаtes") == "prevoluticates"
