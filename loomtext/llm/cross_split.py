@@ -13,8 +13,7 @@ reported; whether a pair counts is decided by an exact comparison.
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,13 +26,13 @@ from pyspark.sql import functions as F
 from loomtext.functions.arrow import tokens_of
 from loomtext.functions.lineage import cut, drop_cut
 from loomtext.llm.lookalike import mix, sequence_keys, table_form, token_hash
+from loomtext.llm.sentences import _ends as sentence_batches
 
 WINDOW = 3
 #: Longs of token parities kept of each record.
 SIGNATURE = 4
 #: Tokens that occur more often than this are ranked by how often; see _prefixes.
 FREQUENT = 50
-_STOP = re.compile(r"[.!?…。！？।॥|۔؟።፡]+\Z")
 
 
 def _normalised(batch: pa.RecordBatch, column: int) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -99,17 +98,25 @@ def _prefixes(share: float, known: np.ndarray, often: np.ndarray):
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, sentences) to (id, token hashes, ends of pieces between stops)."""
+    """(id, sentences) to (id, token hashes, ends of the true sentences)."""
     for batch in batches:
-        vocabulary, codes, row = _normalised(batch, 1)
+        words, at = tokens_of(batch.column(1))
+        coded = words.cast(pa.string()).dictionary_encode()
+        vocabulary = [table_form(w).lower() for w in coded.dictionary.to_pylist()]
+        codes = np.asarray(coded.indices).astype(np.int64)
         if not len(codes):
             continue
-        h = token_hash(vocabulary).view(np.int64)[codes]
-        stop = np.fromiter((bool(_STOP.match(w)) for w in vocabulary), bool, len(vocabulary))[codes]
+        drawn = np.fromiter(map(bool, vocabulary), bool, len(vocabulary))[codes]
+        first, upto = np.searchsorted(at, np.arange(batch.num_rows)), np.r_[0, np.cumsum(drawn)]
+        ends: dict[int, set] = defaultdict(set)
+        for found in sentence_batches(iter([pa.record_batch({"id": pa.array(np.arange(batch.num_rows)), "sentences": batch.column(1)})])):
+            for r, e in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+                ends[r].add(int(upto[first[r] + e] - upto[first[r]]))
+        h, row = token_hash(vocabulary).view(np.int64)[codes[drawn]], at[drawn]
+        if not len(row):
+            continue
         starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        edges = np.r_[starts, len(row)]
-        ends = [np.flatnonzero(stop[a:b]) + 1 for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        yield pa.record_batch({"id": batch.column(0).take(pa.array(row[starts])), "toks": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(h)), "ends": pa.array(ends, pa.list_(pa.int64()))})
+        yield pa.record_batch({"id": batch.column(0).take(pa.array(row[starts])), "toks": pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)], pa.int32()), pa.array(h)), "ends": pa.array([sorted(ends[r]) for r in row[starts].tolist()], pa.list_(pa.int64()))})
 
 
 def in_order(a: list, b: list) -> int:
@@ -131,21 +138,95 @@ def _pieces(toks: list, ends: list[int]) -> list[list]:
     return [toks[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def _grown(row: np.ndarray, piece: list, same: dict) -> np.ndarray:
+    """From the most tokens matched before each place of a text, those once `piece`
+    follows; `same` holds where in the text each token stands."""
+    for x in piece:
+        hit = same.get(x)
+        if hit is not None:
+            row = np.maximum.accumulate(np.r_[row[0], np.maximum(row[1:], row[:-1] + hit)])
+    return row
+
+
+def _where(toks: list) -> dict:
+    codes: dict = {}
+    text = np.array([codes.setdefault(x, len(codes)) for x in toks], np.int64)
+    return {x: (text == c).astype(np.int64) for x, c in codes.items()}
+
+
+def _arranged(pieces: list[list], b: list, need: float) -> bool:
+    """Whether `need` tokens match in order for some order of the pieces. Sets of
+    pieces placed so far grow by one piece at a time; a place is given up once what
+    is matched and the most the rest can match fall short. Few sets are followed
+    first, and more until none is left out, so the answer is exact."""
+    kinds = Counter(map(tuple, pieces))
+    if sum(k * in_order(list(p), b) for p, k in kinds.items()) < need:
+        return False
+    same, back = _where(b), _where(b[::-1])
+    names = list(kinds)
+    m, zero = len(b), np.zeros(len(b) + 1, np.int64)
+    tail = [_grown(zero, p[::-1], back)[::-1] for p in names]
+    room, gone = m - np.arange(m + 1), np.int64(-(1 << 40))
+    whole = tuple(kinds[p] for p in names)
+    width = 4
+    while True:
+        states, cut_off = {(0,) * len(names): zero}, False
+        while states:
+            grown: dict = {}
+            for used, row in states.items():
+                for i, p in enumerate(names):
+                    if used[i] < whole[i]:
+                        to = (*used[:i], used[i] + 1, *used[i + 1 :])
+                        new = _grown(row, p, same)
+                        grown[to] = np.maximum(grown[to], new) if to in grown else new
+            ranked = []
+            for used, row in grown.items():
+                if row.max() >= need:
+                    return True
+                most = row + np.minimum(sum((w - u) * t for w, u, t in zip(whole, used, tail, strict=True)), room)
+                if most.max() >= need:
+                    ranked.append((int(most.max()), int(row.max()), used, np.where(most >= need, row, gone)))
+            ranked.sort(key=lambda x: x[:3], reverse=True)
+            cut_off |= len(ranked) > width
+            states = {used: row for _, _, used, row in ranked[:width]}
+        if not cut_off:
+            return False
+        width *= 8
+
+
+def _landed(pieces: list[list], a: list) -> set[int]:
+    """Where in `a` the closest matches of the pieces begin and end."""
+    same, back, zero = _where(a), _where(a[::-1]), np.zeros(len(a) + 1, np.int64)
+    out = set()
+    for p in pieces:
+        row = _grown(zero, p, same)
+        if row[-1]:
+            end = int(np.searchsorted(row, row[-1]))
+            tail = _grown(zero, p[::-1], back) if end == len(a) else _grown(np.zeros(end + 1, np.int64), p[::-1], {x: h[len(a) - end :] for x, h in back.items()})
+            out |= {end, end - int(np.searchsorted(tail, tail[-1]))}
+    return out
+
+
 def alike(a: list, a_ends: list[int], b: list, b_ends: list[int], share: float) -> bool:
-    """Whether `share` of the longer one's tokens recur in the other in order, or
-    do so once whole pieces between stops may change places."""
+    """Whether `share` of the longer one's tokens recur in the other in order, or do
+    so once whole sentences may change places: those of either one, or of one cut
+    where the other's sentences begin and end too, as a copy may have lost a mark."""
     need = share * max(len(a), len(b)) - 1e-9
     if min(len(a), len(b)) < need:
         return False
     if in_order(a, b) >= need:
         return True
-    left, total = _pieces(b, b_ends), 0
-    for p in sorted(_pieces(a, a_ends), key=len, reverse=True):
-        best = max(((in_order(p, q), -abs(len(p) - len(q)), -i) for i, q in enumerate(left)), default=(0, 0, 0))
-        if best[0]:
-            total += best[0]
-            left.pop(-best[2])
-    return total >= need
+    if (Counter(a) & Counter(b)).total() < need:
+        return False
+    for x, x_ends, y, y_ends in ((a, a_ends, b, b_ends), (b, b_ends, a, a_ends)):
+        pieces, others = _pieces(x, x_ends), _pieces(y, y_ends)
+        if len(pieces) > 1 and _arranged(pieces, y, need):
+            return True
+        if len(pieces) > 1 and len(others) > 1:
+            finer = _pieces(x, sorted({*x_ends, *_landed(others, x)}))
+            if len(finer) > len(pieces) and _arranged(finer, y, need):
+                return True
+    return False
 
 
 def _scan(share: float):

@@ -1,3 +1,4 @@
+import itertools
 import random
 import unicodedata
 from collections import Counter, defaultdict
@@ -223,6 +224,26 @@ def test_no_candidate_is_lost_up_to_a_fifth(spark):
     assert pairs_of(spark, rows) == {(2 * i, 2 * i + 1) for i in range(60)}
 
 
+def test_moved_sentences_count_where_a_mark_is_lost():
+    a = "a b c d e f . g h i j k l . m n o p q r".split()
+    b = "m n o p q r a b c d e f . g h i j k l .".split()
+    assert cross_split.alike(a, [7, 14, 20], b, [13, 20], 0.8) and cross_split.alike(b, [13, 20], a, [7, 14, 20], 0.8)
+    lost, moved = [x for x in a if x != "."], "g h i j k l m n o p q r a b c d e f".split()
+    assert cross_split.alike(a, [7, 14, 20], moved, [18], 0.8)
+    assert cross_split.alike(lost, [12, 18], "m n o p q r a b c d e f g h i j k l".split(), [6, 18], 0.8)
+    assert cross_split.alike("a b c d e f g h i j k l".split(), [8, 12], "e f g h i j k l a b c d".split(), [4, 8, 12], 0.8)
+    assert not cross_split.alike(lost, [18], moved, [18], 0.8)
+
+
+def test_sentences_of_any_order_against_trying_all():
+    rng = random.Random(9)
+    for _ in range(150):
+        pieces = [[rng.choice("abcdef") for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(2, 5))]
+        b = [rng.choice("abcdef") for _ in range(rng.randint(6, 14))]
+        best = max(lcs(sum(o, []), b) for o in itertools.permutations(pieces))
+        assert cross_split._arranged(pieces, b, best - 1e-9) and not cross_split._arranged(pieces, b, best + 1 - 1e-9)
+
+
 # 5 -------------------------------------------------------------------------------------------------
 def test_table_form():
     assert lookalike.table_form("ｈｉｓ") == "his" and lookalike.table_form("рrevolutісаtes") == "prevoluticates"
