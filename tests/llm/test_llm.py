@@ -244,6 +244,22 @@ def test_sentences_of_any_order_against_trying_all():
         assert cross_split._arranged(pieces, b, best - 1e-9) and not cross_split._arranged(pieces, b, best + 1 - 1e-9)
 
 
+def test_frequent_keys_lose_no_pair(spark):
+    """All windows of both records recur on the other side, and most often the five that the pair has in common."""
+    runs = [[f"c{r}t{k}" for k in range(3 if r % 2 else 2)] for r in range(10)]
+    a, b = [], []
+    for r, run in enumerate(runs):
+        a += run + ([f"a{r}"] if r % 2 == 0 else [])
+        b += run + ([f"b{r}"] if r % 2 == 1 else [])
+    a, b = a + ["a10"], b + ["b10"]
+    assert lcs(a, b) == 25 and len(a) == len(b) == 31
+    some = lambda x, t: x + [f"{t}{k}" for k in range(31 - len(x))]
+    rows = [(0, a, "dev"), (1, b, "train"), (2, some(a[:16], "u"), "train"), (3, some(a[14:], "v"), "train"), (4, some(b[:16], "w"), "dev"), (5, some(b[14:], "x"), "dev")]
+    hot = [t for run in runs if len(run) == 3 for t in run]
+    rows += [(10 + i, some(hot, f"h{i}n"), "dev" if i % 2 else "train") for i in range(8)]
+    assert pairs_of(spark, rows) == {(0, 1)}
+
+
 # 5 -------------------------------------------------------------------------------------------------
 def test_table_form():
     assert lookalike.table_form("ｈｉｓ") == "his" and lookalike.table_form("рrevolutісаtes") == "prevoluticates"
