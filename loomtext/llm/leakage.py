@@ -182,17 +182,18 @@ def covered(item: np.ndarray, text: np.ndarray, item_grams: np.ndarray, text_gra
             else:
                 run[2] += 1
             open_[i + 1, j + 1] = run
-    best, back = [], []
+    best, back = np.zeros(len(runs), np.int64), []
+    begin, start, size = np.array(runs, np.int64).reshape(-1, 3).T
     for k, (i, j, m) in enumerate(runs):
-        score, prev = m, -1
-        for q in range(max(0, k - 300), k):
-            pi, pj, pm = runs[q]
-            lap = max(0, pi + pm - i, pj + pm - j)  # a stretch may begin within the one before
-            if pi < i and pj < j and lap < m and best[q] + m - lap > score:
-                score, prev = best[q] + m - lap, q
-        best.append(score)
+        pi, pj, pm, score = begin[:k], start[:k], size[:k], best[:k]
+        lap = np.maximum(0, np.maximum(pi + pm - i, pj + pm - j))  # a stretch may begin within the one before
+        gain = np.where((pi < i) & (pj < j) & (lap < m), score - lap, 0)
+        prev = int(gain.argmax()) if k else -1
+        if prev >= 0 and gain[prev] <= 0:
+            prev = -1
+        best[k] = m + (gain[prev] if prev >= 0 else 0)
         back.append(prev)
-    k = int(np.argmax(best)) if best else -1
+    k = int(np.argmax(best)) if len(best) else -1
     after = None
     while k >= 0:
         i, j, m = runs[k]

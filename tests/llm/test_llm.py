@@ -396,6 +396,14 @@ def test_leaks(spark):
     assert leakage.leaked_items(d, "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
 
 
+def test_stretches_far_apart_are_chained():
+    item = np.arange(1, 61)
+    text = np.r_[item[:20], np.tile(np.r_[item[25:28], 0], 700), item[40:]]
+    three = lambda x: x[:-2] * 10_000 + x[1:-1] * 100 + x[2:]
+    got = leakage.covered(item, text, three(item), three(text))
+    assert got == [k < 20 or 25 <= k < 28 or k >= 40 for k in range(60)]
+
+
 def test_bounds_drop_nothing():
     rng = random.Random(1)
     items = [(i, " ".join(rng.choice("abcdefgh") + rng.choice("xy") for _ in range(12))) for i in range(60)]
