@@ -26,6 +26,14 @@ def cosine_pairs(w: DataFrame) -> DataFrame:
     return both.select("a", "b", "dot", (F.col("dot") / F.sqrt(F.col("na") * F.col("nb"))).alias("cosine"), F.sqrt(F.greatest(F.col("na") + F.col("nb") - 2 * F.col("dot"), F.lit(0.0))).alias("distance"))
 
 
+def unrelated_pairs(w: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that cosine_pairs() leaves out, in its columns (J13): all by all, for
+    tables of fixed size."""
+    norm = w.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("sq"))
+    rest = norm.toDF("a", "na").crossJoin(norm.toDF("b", "nb")).filter("a < b").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    return rest.select("a", "b", F.lit(0.0).alias("dot"), F.lit(0.0).alias("cosine"), F.sqrt(F.col("na") + F.col("nb")).alias("distance"))
+
+
 def bernoulli(rows: DataFrame, label: str, features: list[str], alpha: float) -> DataFrame:
     """Per class: rows, prior and p(feature) = (ones + a) / (rows + 2a)."""
     per = rows.groupBy(label).agg(F.count("*").alias("n"), *[F.sum(F.col(f).cast("long")).alias(f"ones_{f}") for f in features])

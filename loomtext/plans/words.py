@@ -94,8 +94,11 @@ def tfidf_pairs(spark, sf):
 
 
 def tfidf_closest(spark, sf):
-    """The most similar pair of different texts, and all as near by distance."""
-    p = tfidf_pairs(spark, sf).filter("distance > 0")
+    """The most similar pair of different texts, and all as near by distance, of
+    pairs without a common term too (O11)."""
+    w = _eval_weights(spark, sf)
+    related = vector.cosine_pairs(w)
+    p = related.unionByName(vector.unrelated_pairs(w, related)).select("a", "b", F.round("cosine", 6).alias("cosine"), F.round("distance", 6).alias("distance")).filter("distance > 0")
     best = p.agg(F.max("cosine").alias("c"), F.min("distance").alias("d"))
     return p.join(F.broadcast(best), (p.cosine == F.col("c")) | (p.distance <= F.col("d") + 1e-12)).select("a", "b", "cosine", "distance")
 

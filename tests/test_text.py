@@ -1,3 +1,4 @@
+import math
 import os
 
 import pytest
@@ -284,3 +285,13 @@ def test_every_query_has_a_name_and_columns_are_stable(spark):
     q, s = e.queries(), e.oracle_sql()
     assert set(s) <= set(q) and len(q) > 80
     assert e.entry(spark).count() == 1
+
+
+def test_closest_pair_may_share_no_term(spark, tmp_path):
+    from loomtext.plans import words
+
+    texts = {1: "a b c d e f g", 2: "a h i j k l m", 3: "n", 4: "o", 5: "n o p q r s t u"}
+    spark.createDataFrame(list(texts.items()), "item_id long, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    got = {(r["a"], r["b"]): r["distance"] for r in words.tfidf_closest(spark, str(tmp_path)).collect()}
+    # 3 and 4: one term each, found in two of five texts
+    assert got[3, 4] == round(2**0.5 * math.log10(5 / 2), 6) == min(got.values())
