@@ -8,6 +8,7 @@ too, which stays in range.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,21 +74,21 @@ class Counts:
 
 
 def good_turing(nr: dict[int, int], total: int, k: int = 5) -> dict:
-    """Ratios r*/r for r up to k by the cut-off formula, with the guards for sparse
-    frequencies, and the mass of unseen n-grams."""
-    n1, top = nr.get(1, 0), nr.get(k + 1, 0)
-    cut_off = (k + 1) * top / n1 if n1 else 0.0
-    scale = 1.0 - cut_off
-    if not 0 < scale <= 2.0:
-        scale = 1.0
-    ratio = {}
-    for r in range(1, k + 1):
-        if not n1 or not nr.get(r):
-            ratio[r] = 1.0
-            continue
-        x = ((r + 1) * nr.get(r + 1, 0) / nr[r] - r * cut_off) / scale / r
-        ratio[r] = x if 0 < x <= 1.5 else max(0.01, min(1.0, 1.0 - n1 / (n1 + 2 * nr.get(2, 1))))
-    return {"ratio": ratio, "p0": n1 / total if total else 1e-10, "total": total}
+    """Katz discounts d_r = (r*/r - A) / (1 - A) of counts r = 1..k, with Good-Turing's
+    r* = (r + 1) N_{r+1} / N_r and A = (k + 1) N_{k+1} / N_1, and the mass N_1 / N of
+    unseen n-grams. A discount that leaves (0, 1.5], as sparse frequencies give, is
+    replaced by Kneser and Ney's estimate; one without a frequency is 1."""
+    r = np.arange(1, k + 1)
+    freq = np.array([nr.get(int(i), 0) for i in range(1, k + 2)], float)
+    own, above, once = freq[:-1], freq[1:], freq[0]
+    with np.errstate(all="ignore"):
+        tail = (k + 1) * freq[-1] / once
+        kept = 1 - tail if 0 < 1 - tail <= 2 else 1.0
+        katz = ((r + 1) * above / own / r - tail) / kept
+        absolute = np.clip(1 - once / (once + 2 * nr.get(2, 1)), 0.01, 1.0)
+    fitting = (katz > 0) & (katz <= 1.5)
+    ratio = np.where((own > 0) & (once > 0), np.where(fitting, katz, absolute), 1.0)
+    return {"ratio": dict(zip(r.tolist(), ratio.tolist(), strict=True)), "p0": float(once) / total if total else 1e-10, "total": total}
 
 
 def discounted(c: Column, gt: dict) -> Column:

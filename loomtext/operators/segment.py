@@ -1,7 +1,6 @@
 """Word segmentation of text without blanks, over a broadcast vocabulary.
 
-The recurrences run along one text, so they are batch functions; a dictionary of
-words stands for the trie, whose walk gives the same result.
+The recurrences run along one text, so they are batch functions, which walk a trie.
 """
 
 from __future__ import annotations
@@ -17,75 +16,89 @@ from pyspark.sql import functions as F
 MOST_WORDS = 2_000_000
 
 
-def greedy(text: str, vocab: dict[str, int], longest: int) -> list[str]:
-    """Longest match from the left, a single character where nothing matches."""
-    out, at = [], 0
-    while at < len(text):
-        end = next((e for e in range(min(len(text), at + longest), at, -1) if text[at:e] in vocab), at + 1)
-        out.append(text[at:end])
-        at = end
-    return out
-
-
-def best_path(text: str, vocab: dict[str, int], total: int, longest: int) -> list[str]:
-    """The segmentation of greatest unigram probability; unknown words of n
-    characters count 10 / (total * 10^n), and of equals the longest last word wins (T7)."""
-    n = len(text)
-    score, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
-    for end in range(1, n + 1):
-        for at in range(max(0, end - max(longest, 1)), end):
-            w = text[at:end]
-            c = vocab.get(w)
-            p = score[at] + (math.log(c / total) if c else math.log(10 / total) - len(w) * math.log(10))
-            if p > score[end]:
-                score[end], back[end] = p, at
-    out, end = [], n
-    while end:
-        out.append(text[back[end] : end])
-        end = back[end]
-    return out[::-1]
-
-
 class Trie:
-    """The same vocabulary as nested dictionaries."""
+    """A vocabulary as nested dictionaries; a word's count stands at '' (T8 T9). Sent
+    to a worker as its words and laid out there once."""
 
     def __init__(self, vocab: dict[str, int]) -> None:
+        self.vocab, self.total = vocab, sum(vocab.values())
         self.root: dict = {}
+        self.longest = max(map(len, vocab), default=0)
         for w, c in vocab.items():
             node = self.root
             for ch in w:
                 node = node.setdefault(ch, {})
             node[""] = c
 
+    def __reduce__(self):
+        return Trie, (self.vocab,)
+
+    def words_from(self, text: str, at: int) -> Iterator[tuple[int, int]]:
+        """(end, count) of the words that begin at a place of the text, short ones first."""
+        node = self.root
+        for end in range(at, len(text)):
+            node = node.get(text[end])
+            if node is None:
+                return
+            if "" in node:
+                yield end + 1, node[""]
+
     def greedy(self, text: str) -> list[str]:
+        """Longest match from the left, a single character where nothing matches."""
         out, at = [], 0
         while at < len(text):
-            node, end = self.root, at + 1
-            for i in range(at, len(text)):
-                node = node.get(text[i])
-                if node is None:
-                    break
-                if "" in node:
-                    end = i + 1
+            end = at + 1
+            for end, _ in self.words_from(text, at):
+                pass
             out.append(text[at:end])
             at = end
         return out
 
+    def best_path(self, text: str) -> list[str]:
+        """The segmentation of greatest unigram probability; unknown words of n
+        characters count 10 / (total * 10^n), and of equals the longest last word wins
+        (T7). Each place hands its best score on to where the words from it end."""
+        n, reach = len(text), max(self.longest, 1)
+        known = [math.log(10 / self.total) if self.total else 0.0]
+        best = [(0.0, 0)] + [(-math.inf, 0)] * n
+        for at in range(n):
+            sofar = best[at][0]
+            words = dict(self.words_from(text, at))
+            for end in range(at + 1, min(n, at + reach) + 1):
+                c = words.get(end)
+                p = sofar + (math.log(c / self.total) if c else known[0] - (end - at) * math.log(10))
+                if p > best[end][0]:
+                    best[end] = p, at
+        out = []
+        while n:
+            out.append(text[best[n][1] : n])
+            n = best[n][1]
+        return out[::-1]
+
+
+def greedy(text: str, vocab: dict[str, int], longest: int) -> list[str]:
+    """Trie.greedy() by slices of at most `longest` characters."""
+    out = []
+    while text:
+        sizes = range(min(longest, len(text)), 0, -1)
+        out.append(text[: next((k for k in sizes if text[:k] in vocab), 1)])
+        text = text[len(out[-1]) :]
+    return out
+
 
 def segmented(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
     """`key`, `greedy` and `dp` of each text, words joined by a blank. `vocab` has
     `word` and `n`; it is counted, and refused beyond MOST_WORDS."""
-    size = vocab.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.max(F.length("word")), F.lit(0)).alias("longest")).first()
-    if size["k"] > MOST_WORDS:
-        raise ValueError(f"a vocabulary of {size['k']} words is over the limit of {MOST_WORDS}")
-    held = df.sparkSession.sparkContext.broadcast({r["word"]: r["n"] for r in vocab.select("word", "n").toLocalIterator()})
-    total, longest = size["total"], size["longest"]
+    held = vocab.select("word", "n").limit(MOST_WORDS + 1).toPandas()
+    if len(held) > MOST_WORDS:
+        raise ValueError(f"a vocabulary of over {MOST_WORDS} words is not broadcast")
+    sent = df.sparkSession.sparkContext.broadcast(Trie(dict(zip(held["word"], map(int, held["n"]), strict=True))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = held.value
+        trie = sent.value
         for b in batches:
             texts = b.column(1).to_pylist()
-            yield pa.record_batch({key: b.column(0), "greedy": pa.array([None if t is None else " ".join(greedy(t, v, longest)) for t in texts], pa.string()), "dp": pa.array([None if t is None else " ".join(best_path(t, v, total, longest)) for t in texts], pa.string())})
+            yield pa.record_batch({key: b.column(0), "greedy": pa.array([None if t is None else " ".join(trie.greedy(t)) for t in texts], pa.string()), "dp": pa.array([None if t is None else " ".join(trie.best_path(t)) for t in texts], pa.string())})
 
     kind = df.schema[key].dataType.simpleString()
     parts = df.sparkSession.sparkContext.defaultParallelism

@@ -8,7 +8,8 @@ the prefixes of the vocabulary.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Container, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -79,32 +80,47 @@ def candidates(typos: DataFrame, vocab: DataFrame) -> DataFrame:
     return near.union(same)
 
 
-def search(typo: str, words: frozenset[str], prefixes: frozenset[str], most: int) -> dict[str, set[tuple[str, ...]]]:
-    """All words within `most` edits and every sequence of edits that gives them."""
-    found: dict[str, set[tuple[str, ...]]] = {}
-    todo: list[tuple[str, str, int, tuple[str, ...]]] = [("", typo, most, ())]
-    seen = set()
-    while todo:
-        state = todo.pop()
-        if state in seen:
-            continue
-        seen.add(state)
-        head, tail, left, edits = state
-        if head + tail in words:
-            found.setdefault(head + tail, set()).add(edits)
-        if not left:
-            continue
-        p = head[-1:] or START
-        grown = [c for c in ALPHABET if head + c in prefixes]
-        todo += [(head + c, tail, left - 1, (*edits, f"{p}|{p}{c}")) for c in grown]
-        if not tail:
-            continue
-        x, rest = tail[0], tail[1:]
-        todo.append((head, rest, left - 1, (*edits, f"{p}{x}|{p}")))
-        todo += [(head + c, rest, left, edits) if c == x else (head + c, rest, left - 1, (*edits, f"{x}|{c}")) for c in grown]
-        if rest and rest[0] != x and head + rest[0] in prefixes:
-            todo.append((head + rest[0], x + rest[1:], left - 1, (*edits, f"{x}{rest[0]}|{rest[0]}{x}")))
-    return found
+def followers(words: Iterable[str]) -> dict[str, str]:
+    """The vocabulary as a trie: each prefix with the letters that may come next."""
+    nxt: dict[str, set[str]] = {"": set()}
+    for w in words:
+        for i, c in enumerate(w):
+            nxt.setdefault(w[:i], set()).add(c)
+        nxt.setdefault(w, set())
+    return {p: "".join(sorted(cs)) for p, cs in nxt.items()}
+
+
+def search(typo: str, words: Container[str], trie: dict[str, str], most: int) -> dict[str, set[tuple[str, ...]]]:
+    """All words within `most` edits and every sequence of edits that gives them.
+
+    The trie is walked one letter at a time. At a node stands what reached it: the
+    rest of the typo with the edits so far. A row is completed by leaving out letters
+    of the rest, then it is handed to the next nodes: as it is along the rest's own
+    letter, and at the price of an edit along the others."""
+    found: dict[str, set[tuple[str, ...]]] = defaultdict(set)
+    level: dict[str, set[tuple[str, tuple[str, ...]]]] = {"": {(typo, ())}}
+    while level:
+        below: dict[str, set[tuple[str, tuple[str, ...]]]] = defaultdict(set)
+        for node, row in level.items():
+            last = node[-1] if node else START
+            short = row
+            while short:
+                short = {(rest[1:], (*done, f"{last}{rest[0]}|{last}")) for rest, done in short if rest and len(done) < most} - row
+                row = row | short
+            branches = [c for c in trie.get(node, "") if c in ALPHABET]
+            for rest, done in row:
+                if node + rest in words:
+                    found[node + rest].add(done)
+                if len(done) == most:
+                    continue
+                for c in branches:
+                    below[node + c].add((rest, (*done, f"{last}|{last}{c}")))
+                    if rest:
+                        below[node + c].add((rest[1:], done if c == rest[0] else (*done, f"{rest[0]}|{c}")))
+                if len(rest) > 1 and rest[0] != rest[1] and node + rest[1] in trie:
+                    below[node + rest[1]].add((rest[0] + rest[2:], (*done, f"{rest[:2]}|{rest[1]}{rest[0]}")))
+        level = below
+    return dict(found)
 
 
 def candidates_within(typos: DataFrame, vocab: DataFrame, most: int = 2) -> DataFrame:
@@ -113,13 +129,12 @@ def candidates_within(typos: DataFrame, vocab: DataFrame, most: int = 2) -> Data
     if len(held) > MOST_WORDS:
         raise ValueError(f"a vocabulary of over {MOST_WORDS} words is not broadcast")
     count = dict(zip(held["word"], held["n"], strict=True))
-    prefixes = frozenset(w[:i] for w in count for i in range(len(w) + 1))
-    sent = typos.sparkSession.sparkContext.broadcast((count, frozenset(count), prefixes))
+    sent = typos.sparkSession.sparkContext.broadcast((count, followers(count)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, words, prefixes = sent.value
+        count, trie = sent.value
         for b in batches:
-            rows = [(t, c, count[c], list(e)) for t in b.column(0).to_pylist() for c, es in search(t, words, prefixes, most).items() for e in es]
+            rows = [(t, c, count[c], list(e)) for t in b.column(0).to_pylist() for c, es in search(t, count, trie, most).items() for e in es]
             if rows:
                 t, c, n, e = map(list, zip(*rows, strict=True))
                 yield pa.record_batch({"typo": pa.array(t), "cand": pa.array(c), "n": pa.array(n, pa.int64()), "edits": pa.array(e, pa.list_(pa.string()))})

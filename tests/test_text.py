@@ -1,6 +1,7 @@
 import math
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,9 +120,49 @@ def test_segmenters_agree_with_search():
     trie = segment.Trie(vocab)
     for t in ("itthatthecat", "xthehatx", "", "thethethat"):
         assert segment.greedy(t, vocab, 4) == trie.greedy(t)
-        best = segment.best_path(t, vocab, 21, 4)
+        best = trie.best_path(t)
         assert "".join(best) == t
-    assert segment.best_path("itthatthecat", vocab, 21, 4) == ["it", "that", "the", "cat"]
+    assert trie.best_path("itthatthecat") == ["it", "that", "the", "cat"]
+
+
+def test_best_path_against_all_segmentations():
+    import itertools
+    import math
+
+    from loomtext.operators import segment
+
+    vocab = {"a": 4, "ab": 3, "abc": 1, "bc": 5, "c": 2}
+    total, trie = sum(vocab.values()), segment.Trie(vocab)
+
+    def score(words):
+        return sum(math.log(vocab[w] / total) if w in vocab else math.log(10 / total) - len(w) * math.log(10) for w in words)
+
+    for text in ("abc", "aabcc", "xabcx", "abcabc", "cab"):
+        ways = []
+        for cuts in itertools.product([0, 1], repeat=len(text) - 1):
+            edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(text)]
+            words = [text[a:b] for a, b in itertools.pairwise(edges)]
+            if max(map(len, words)) <= trie.longest:
+                ways.append(words)
+        assert math.isclose(score(trie.best_path(text)), max(map(score, ways)))
+
+
+def test_two_edit_search_against_distances(spark):
+    import random
+
+    from loomtext.operators import spell
+
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(80)})
+    trie = spell.followers(words)
+    for typo in ["abc", "", "cabba", "bbb", "accab"]:
+        found = spell.search(typo, frozenset(words), trie, 2)
+        far = spell.osa_distance.func(pd.Series([typo] * len(words)), pd.Series(words))
+        assert {w for w, d in zip(words, far, strict=True) if d <= 2} <= set(found)
+        assert all(len(e) <= 2 for es in found.values() for e in es)
+        for w, d in zip(words, far, strict=True):
+            if w in found:
+                assert min(map(len, found[w])) <= d
 
 
 def test_language_model_sums_to_one(spark):
@@ -191,8 +232,7 @@ def test_one_edit_equals_search(spark):
     vocab = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
     typos = spark.createDataFrame([(w,) for w in ["begining", "ab", "wrod", "x y", "", "1a"]], "typo string")
     near = {(r["typo"], r["cand"], tuple(r["edits"])) for r in spell.candidates(typos, vocab).collect()}
-    prefixes = frozenset(w[:i] for w in words for i in range(len(w) + 1))
-    want = {(t, c, e) for t in ["begining", "ab", "wrod", "x y", "", "1a"] for c, es in spell.search(t, frozenset(words), prefixes, 1).items() for e in es}
+    want = {(t, c, e) for t in ["begining", "ab", "wrod", "x y", "", "1a"] for c, es in spell.search(t, frozenset(words), spell.followers(words), 1).items() for e in es}
     assert near == want
     assert ("begining", "beginning", ("i|in",)) in near and ("begining", "beginning", ("n|nn",)) in near
 
