@@ -131,7 +131,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_spellings(spark: SparkSession, sf: str) -> DataFrame:
     """Every token and input that is not canonical, and its canonical spelling."""
     texts = valid_corpus(spark, sf, "sentences").unionByName(_inputs(spark, sf).select("sentences"))
-    return lookalike.canonical_spellings(texts)
+    return lookalike.canonical_spellings(texts).select("token", "canonical")
 
 
 def p6_assignment(spark: SparkSession, sf: str) -> DataFrame:

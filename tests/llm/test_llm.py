@@ -277,6 +277,25 @@ def test_trie_meets_all_spellings():
     assert t.same_looking("á") == [] and t.same_looking("sált") == ["sált"]
 
 
+def test_weights_of_the_edit_automaton():
+    t = lookalike.Trie()
+    for s in ("résumé", "resume", "resumes"):
+        t.add(s)
+    assert t.near("r\u0435sume") == {"resume": 0.0}
+    assert t.near("résume", 0.5) == {"résumé": 0.5, "resume": 0.5}
+    assert t.near("resumе", 1.0) == {"resume": 0.0, "resumes": 1.0, "résumé": 1.0}
+
+
+def test_vocabulary_decides_the_spelling(spark):
+    """Cyrillic words stay Cyrillic unless a plain word reads the same; a mixed one
+    follows what the vocabulary holds."""
+    words = ["окно", "окнo", "хор", "хoр", "сор", "cop", "coр", "zеro", "МОСКВА", "અેમ", "એમ", "ok\u200b"]
+    got = {r["token"]: r["canonical"] for r in lookalike.canonical_spellings(paras(spark, [(1, [words])])).collect()}
+    assert got == {"окнo": "окно", "хoр": "хор", "сор": "cop", "coр": "cop", "zеro": "zero", "અેમ": "એમ", "ok\u200b": "ok"}
+    assert got["окнo"] != lookalike.table_form("окнo")
+    assert {lookalike.reading(a) == lookalike.reading(b) for a, b in got.items()} == {True}
+
+
 def test_same_looking_pairs_against_all_pairs(spark):
     rng = random.Random(2)
     base = ["salt water", "des été", "के ड़ का", "plain", "木 車"]
@@ -289,9 +308,9 @@ def test_same_looking_pairs_against_all_pairs(spark):
     assert lookalike.same_looking_pairs(paras(spark, []), "paragraph_id").count() == 0
 
 
-def test_joined_spellings_equal_broadcast_ones(spark):
+def test_joined_spellings_equal_those_known_to_all_tasks(spark):
     rows = [(i, [["а" if i % 2 else "a", "b"]]) for i in range(6)]
-    a = lookalike.looks(paras(spark, rows), "paragraph_id", broadcast_rows=0).select("look1", "look2").distinct().count()
+    a = lookalike.looks(paras(spark, rows), "paragraph_id", frequent=0).select("look1", "look2").distinct().count()
     assert a == lookalike.looks(paras(spark, rows), "paragraph_id").select("look1", "look2").distinct().count() == 1
 
 
