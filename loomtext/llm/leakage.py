@@ -2,10 +2,12 @@
 
 The test items form an inverted index whose terms are pairs of neighbouring words,
 weighted by BM25 and scaled so that an item's whole text scores 1. Every training
-passage is a query. As in block-max WAND, the greatest weight of each of its terms
-bounds what any item can score, then the greatest weight per block of items bounds
-that block; only blocks that can reach the threshold are scored. What is retrieved
-is verified: the item's words that recur in order, in stretches, are aligned.
+passage is a query, answered as in block-max WAND: a passage's terms are ordered by
+the most they can add, and those before the pivot cannot reach the threshold by
+themselves, so only the blocks of items in the lists behind it are looked at; of
+these, the blocks whose own bounds reach the threshold are scored, and the postings
+of all others are never read. What is retrieved is verified: the words of the item,
+its question and its answer, that recur in order, in stretches, are aligned.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.lookalike import table_form
 
-#: Items of one index; more items are searched for in several passes.
-ITEMS = 5_000
+#: Items, and characters of items, of one index; more are searched for in several passes.
+ITEMS, ITEM_CHARS = 50_000, 200_000_000
 #: Items whose weights share a bound.
-BLOCK = 16
+BLOCK = 4
 K1, B = 1.2, 0.75
 #: Least score, of 1, for an item to be verified: an item of which half recurs
 #: with a few words changed still holds a quarter of its word pairs.
@@ -36,6 +38,8 @@ COVERAGE = 0.45
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _SINGLE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])[\p{L}\p{M}\p{N}])+")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\S+")
+#: Letters from which an unknown run may be several words whose blanks were lost.
+GLUED = 30
 MARKUP = r"</?[A-Za-z][^<>]{0,300}>|&(?:[a-z]{2,8}|#[0-9]{1,6});"
 
 
@@ -50,15 +54,58 @@ def words_of(chunk: str) -> list[str]:
     return [w for run in _WORD.findall(chunk) for w in (_SINGLE.findall(run) if not run.isascii() else [run])]
 
 
-def word_ids(texts: pa.Array, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The words of all texts as ids (0 for those not in `known`), and the text of each."""
+class Parts:
+    """Known words as a trie, to find them in a run of letters without blanks."""
+
+    def __init__(self, known: dict[str, int]) -> None:
+        self.known, self.root = known, {}
+        for w in known:
+            node = self.root
+            for c in w:
+                node = node.setdefault(c, {})
+            node[""] = w
+
+    def __call__(self, run: str) -> list[int]:
+        """Ids of the known words that cover most of the run, few words before many,
+        with 0 for what lies between; just 0 if no three of them, of twelve letters
+        or more together, follow one another."""
+        n = len(run)
+        best: list[tuple[int, int, int]] = [(0, 0, 0)] * (n + 1)  # letters covered, -words, end of the first piece
+        for at in range(n - 1, -1, -1):
+            best[at] = (best[at + 1][0], best[at + 1][1], 0)
+            node = self.root
+            for end in range(at, n):
+                node = node.get(run[end])
+                if node is None:
+                    break
+                if "" in node:
+                    rest = best[end + 1]
+                    best[at] = max(best[at], (rest[0] + end + 1 - at, rest[1] - 1, end + 1))
+        out, at, since, longest = [], 0, (0, 0), False
+        while at < n:
+            end = best[at][2]
+            if end:
+                out.append(self.known[run[at:end]])
+                since = since[0] + 1, since[1] + end - at
+                longest |= since[0] >= 3 and since[1] >= 12
+            elif not out or out[-1]:
+                out.append(0)
+                since = (0, 0)
+            at = end or at + 1
+        return out if longest else [0]
+
+
+def word_ids(texts: pa.Array, known: dict[str, int], parts: Parts | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as ids (0 for those not in `known`), and the text of each.
+    A long run of letters that is no known word is looked through for known ones."""
+    parts = parts or Parts(known)
     chunks = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.fill_null(texts.cast(pa.string()), ""), MARKUP, " "))
     flat = pc.list_flatten(chunks)
     parent = np.asarray(pc.list_parent_indices(chunks)).astype(np.int64)
     if not len(flat):
         return np.zeros(0, np.int64), parent
     coded = flat.dictionary_encode()
-    split = [[known.get(w, 0) for w in words_of(c)] for c in coded.dictionary.to_pylist()]
+    split = [[i for w in words_of(c) for i in (parts(w) if len(w) >= GLUED and w not in known else (known.get(w, 0),))] for c in coded.dictionary.to_pylist()]
     size = np.fromiter(map(len, split), np.int64, len(split))
     start = np.r_[0, np.cumsum(size)]
     ids = np.fromiter((x for s in split for x in s), np.int64, int(start[-1]))
@@ -74,78 +121,97 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Postings of word pairs over test items, and bounds of their weights."""
+    """Postings of word pairs over test items, and bounds of their weights. Of an item
+    of one word the word itself is the term."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple]) -> None:
+        """`items`: (id, text) or (id, question, answer)."""
         self.known: dict[str, int] = {}
-        self.ids, self.words = [], []
-        for item, text in sorted(items):
-            ws = [w for c in re.sub(MARKUP, " ", text or "").split() for w in words_of(c)]
-            if ws:
+        self.ids, self.words, self.question = [], [], []
+        for item, *texts in sorted(items, key=lambda x: (x[0], *(t or "" for t in x[1:]))):
+            ws = [[self.known.setdefault(w, len(self.known) + 1) for c in re.sub(MARKUP, " ", t or "").split() for w in words_of(c)] for t in texts]
+            if any(ws):
                 self.ids.append(item)
-                self.words.append(np.array([self.known.setdefault(w, len(self.known) + 1) for w in ws], np.int64))
-        self.base = len(self.known) + 1
-        pairs: dict[int, dict[int, int]] = {}
-        lengths = np.array([max(1, len(w) - 1) for w in self.words], float)
-        for i, w in enumerate(self.words):
-            for t in (w[:-1] * self.base + w[1:] if len(w) > 1 else w).tolist():
-                pairs.setdefault(t, {}).setdefault(i, 0)
-                pairs[t][i] += 1
-        n, mean = len(self.words), lengths.mean() if len(lengths) else 1.0
-        self.terms = np.array(sorted(pairs), np.int64)
-        raw = {t: {i: np.log(1 + (n - len(p) + 0.5) / (len(p) + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[i] / mean)) for i, tf in p.items()} for t, p in pairs.items()}
-        whole = np.zeros(n)
-        for p in raw.values():
-            for i, x in p.items():
-                whole[i] += x
-        post = [[(i, x / whole[i]) for i, x in sorted(raw[t].items())] for t in self.terms.tolist()]
-        self.size = np.array([len(p) for p in post], np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        self.item = np.array([i for p in post for i, _ in p], np.int64)
-        self.weight = np.array([x for p in post for _, x in p])
-        self.most = np.array([max(x for _, x in p) for p in post])
-        blocks = [{} for _ in post]
-        for b, p in zip(blocks, post, strict=True):
-            for i, x in p:
-                b[i // BLOCK] = max(x, b.get(i // BLOCK, 0.0))
-        self.b_size = np.array([len(b) for b in blocks], np.int64)
-        self.b_start = np.cumsum(self.b_size) - self.b_size
-        self.b_block = np.array([k for b in blocks for k in b], np.int64)
-        self.b_most = np.array([x for b in blocks for x in b.values()])
+                self.words.append(np.array(sum(ws, []), np.int64))
+                self.question.append(len(ws[0]) if len(ws) > 1 else len(ws[0]) // 2)
+        self.base, n = len(self.known) + 1, len(self.words)
+        terms = [w[:-1] * self.base + w[1:] if len(w) > 1 else w for w in self.words]
+        length = np.fromiter(map(len, terms), np.int64, n)
+        term, item = np.concatenate([*terms, np.zeros(0, np.int64)]), np.repeat(np.arange(n), length)
+        key, tf = np.unique(np.stack([term, item]), axis=1, return_counts=True)
+        term, self.item = key
+        self.terms, self.start, self.size = np.unique(term, return_index=True, return_counts=True)
+        slot = np.repeat(np.arange(len(self.terms)), self.size)
+        idf = np.log(1 + (n - self.size + 0.5) / (self.size + 0.5))[slot]
+        raw = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.item] / max(1.0, length.mean() if n else 1.0)))
+        self.weight = raw / np.bincount(self.item, raw, n)[self.item] if n else raw
+        self.most = np.maximum.reduceat(self.weight, self.start) if n else raw
+        # a list is cut into blocks of BLOCK items
         self.n_blocks = n // BLOCK + 1
+        self.b_key, self.b_first, self.b_size = np.unique(slot * self.n_blocks + self.item // BLOCK, return_index=True, return_counts=True)
+        self.b_most = np.maximum.reduceat(self.weight, self.b_first) if n else raw
+        self.b_start = np.searchsorted(self.b_key, np.arange(len(self.terms)) * self.n_blocks)
+        self.b_count = np.searchsorted(self.b_key, (np.arange(len(self.terms)) + 1) * self.n_blocks) - self.b_start
         self.grams = [self.three(w) for w in self.words]
+        self.single = np.unique(np.concatenate([*(w for w in self.words if len(w) == 1), np.zeros(0, np.int64)]))
+        self.read = 0
 
     def three(self, w: np.ndarray) -> np.ndarray:
         return (w[:-2] * self.base + w[1:-1]) * self.base + w[2:]
 
+    def _block(self, slot: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the block of each list is, and whether there is one."""
+        key = slot * self.n_blocks + block
+        at = np.minimum(np.searchsorted(self.b_key, key), len(self.b_key) - 1)
+        return at, self.b_key[at] == key
+
     def retrieve(self, ids: np.ndarray, passage: np.ndarray, count: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, item) of all scores of at least `least`."""
+        """(passage, item) of all scores of at least `least`; `read` counts the postings read."""
         none = np.zeros(0, np.int64)
         if not len(self.terms) or not len(ids):
             return none, none
         both = (ids[:-1] > 0) & (ids[1:] > 0) & (passage[:-1] == passage[1:])
         term, at = (ids[:-1] * self.base + ids[1:])[both], passage[:-1][both]
-        lone = ids < 0  # items of one word are looked up by the word itself
-        single = [w for w in self.words if len(w) == 1]
-        if single:
-            lone = np.isin(ids, np.concatenate(single))
+        if len(self.single):
+            lone = np.isin(ids, self.single)
             term, at = np.r_[term, ids[lone]], np.r_[at, passage[lone]]
-        slot = np.searchsorted(self.terms, term)
-        hit = self.terms[np.minimum(slot, len(self.terms) - 1)] == term
-        slot, at = slot[hit], at[hit]
-        seen = np.unique(at * len(self.terms) + slot)  # a query's term counts once
+        slot = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        hit = self.terms[slot] == term
+        seen = np.unique(at[hit] * len(self.terms) + slot[hit])  # a query's term counts once
         at, slot = seen // len(self.terms), seen % len(self.terms)
-        bound = np.bincount(at, self.most[slot], count)
-        keep = bound[at] >= least
+        keep = np.bincount(at, self.most[slot], count)[at] >= least
         at, slot = at[keep], slot[keep]
-        block_at = np.repeat(at, self.b_size[slot]) * self.n_blocks + self.b_block[r := ranges(self.b_start[slot], self.b_size[slot])]
-        keys, where = np.unique(block_at, return_inverse=True)
-        keys = keys[np.bincount(where, self.b_most[r], len(keys)) >= least]
-        r = ranges(self.start[slot], self.size[slot])
-        at, item = np.repeat(at, self.size[slot]), self.item[r]
-        keep = np.isin(at * self.n_blocks + item // BLOCK, keys)
-        pair, where = np.unique(at[keep] * len(self.words) + item[keep], return_inverse=True)
-        pair = pair[np.bincount(where, self.weight[r][keep], len(pair)) >= least]
+        if not len(at):
+            return none, none
+        # the pivot: terms in ascending order of bound, up to where their sum reaches the threshold
+        order = np.lexsort((self.most[slot], at))
+        at, slot = at[order], slot[order]
+        upto = np.cumsum(self.most[slot])
+        first = np.searchsorted(at, np.arange(count))
+        behind = upto - np.r_[0.0, upto][first][at] >= least
+        # blocks in the lists behind the pivot, with their bounds; the others are asked for these blocks only
+        e_at, e_slot = at[behind], slot[behind]
+        r = ranges(self.b_start[e_slot], self.b_count[e_slot])
+        cell, where = np.unique(np.repeat(e_at, self.b_count[e_slot]) * self.n_blocks + self.b_key[r] % self.n_blocks, return_inverse=True)
+        bound = np.bincount(where, self.b_most[r], len(cell))
+        w_at, w_slot = at[~behind], slot[~behind]
+        weak = np.bincount(w_at, self.most[w_slot], count)
+        keep = bound + weak[cell // self.n_blocks] >= least
+        cell, bound = cell[keep], bound[keep]
+        begin, size = np.searchsorted(w_at, cell // self.n_blocks), np.bincount(w_at, minlength=count)[cell // self.n_blocks]
+        lists = w_slot[ranges(begin, size)]
+        b, there = self._block(lists, np.repeat(cell % self.n_blocks, size))
+        bound = bound + np.bincount(np.repeat(np.arange(len(cell)), size)[there], self.b_most[b[there]], len(cell))
+        cell = cell[bound >= least]
+        # the postings of the blocks that are left
+        begin, size = first[cell // self.n_blocks], np.bincount(at, minlength=count)[cell // self.n_blocks]
+        lists = slot[ranges(begin, size)]
+        b, there = self._block(lists, np.repeat(cell % self.n_blocks, size))
+        who, b = np.repeat(cell // self.n_blocks, size)[there], b[there]
+        r = ranges(self.b_first[b], self.b_size[b])
+        self.read += len(r)
+        pair, where = np.unique(np.repeat(who, self.b_size[b]) * len(self.words) + self.item[r], return_inverse=True)
+        pair = pair[np.bincount(where, self.weight[r], len(pair)) >= least]
         return pair // len(self.words), pair % len(self.words)
 
 
@@ -183,16 +249,21 @@ def covered(item: np.ndarray, text: np.ndarray, item_grams: np.ndarray, text_gra
                 run[2] += 1
             open_[i + 1, j + 1] = run
     best, back = np.zeros(len(runs), np.int64), []
-    begin, start, size = np.array(runs, np.int64).reshape(-1, 3).T
+    # runs that can still be the best to go on from: of those at one place of the item a
+    # later one only where it ends a better chain
+    live, lead, held = np.zeros((5, len(runs)), np.int64), {}, 0
     for k, (i, j, m) in enumerate(runs):
-        pi, pj, pm, score = begin[:k], start[:k], size[:k], best[:k]
+        pi, pj, pm, score = live[:4, :held]
         lap = np.maximum(0, np.maximum(pi + pm - i, pj + pm - j))  # a stretch may begin within the one before
         gain = np.where((pi < i) & (pj < j) & (lap < m), score - lap, 0)
-        prev = int(gain.argmax()) if k else -1
-        if prev >= 0 and gain[prev] <= 0:
-            prev = -1
-        best[k] = m + (gain[prev] if prev >= 0 else 0)
-        back.append(prev)
+        at_best = int(gain.argmax()) if held else -1
+        most = int(gain[at_best]) if held else 0
+        best[k] = m + most
+        back.append(int(live[4, at_best]) if most > 0 else -1)
+        if best[k] > lead.get((i, m), 0):
+            lead[i, m] = int(best[k])
+            live[:, held] = i, j, m, best[k], k
+            held += 1
     k = int(np.argmax(best)) if len(best) else -1
     after = None
     while k >= 0:
@@ -210,8 +281,9 @@ def covered(item: np.ndarray, text: np.ndarray, item_grams: np.ndarray, text_gra
 def _leaks(index, least_score: float, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
+        parts = Parts(ix.known)
         for batch in batches:
-            ids, passage = word_ids(batch.column(1), ix.known)
+            ids, passage = word_ids(batch.column(1), ix.known, parts)
             at, item = ix.retrieve(ids, passage, batch.num_rows, least_score)
             if not len(at):
                 continue
@@ -224,35 +296,38 @@ def _leaks(index, least_score: float, least: float):
                     if len(text) > 2:
                         grams = np.where((text[:-2] > 0) & (text[1:-1] > 0) & (text[2:] > 0), grams, -1)
                 got = covered(ix.words[i], text, ix.grams[i], grams)
-                half = len(got) // 2
+                q = ix.question[i]
                 if sum(got) >= least * len(got):
-                    out.append((p, ix.ids[i], sum(got) / len(got), sum(got[:half]) / max(1, half), sum(got[half:]) / max(1, len(got) - half)))
+                    out.append((p, ix.ids[i], sum(got) / len(got), sum(got[:q]) / max(1, q), sum(got[q:]) / max(1, len(got) - q)))
             if out:
                 p, i, c, h, t = map(list, zip(*out, strict=True))
-                yield pa.record_batch({"id": batch.column(0).take(pa.array(p, pa.int64())), "item": pa.array(i, pa.int64()), "coverage": pa.array(c, pa.float64()), "head": pa.array(h, pa.float64()), "tail": pa.array(t, pa.float64())})
+                yield pa.record_batch({"id": batch.column(0).take(pa.array(p, pa.int64())), "item": pa.array(i, pa.int64()), "coverage": pa.array(c, pa.float64()), "question": pa.array(h, pa.float64()), "answer": pa.array(t, pa.float64())})
 
     return run
 
 
-def leaked_items(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, *, least_score: float = SCORE, least: float = COVERAGE) -> DataFrame:
+def leaked_items(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, item_answer: str | None = None, *, least_score: float = SCORE, least: float = COVERAGE) -> DataFrame:
     """Every row of `df` that holds at least `least` of an item's words in order:
-    `key`, `item` (BIGINT), `coverage`, and the coverage of the item's first and
-    second half (`head`, `tail`: for a question with its answer, both).
+    `key`, `item` (BIGINT), `coverage`, and the coverage of the item's `question` and
+    `answer`: of `item_text` and `item_answer`, or of the item's halves where there is
+    no column of answers.
 
-    Items are read in blocks of ITEMS; each block is indexed on the driver (its
-    size is bounded) and searched for in all rows, without a shuffle. Null and
-    blank texts and items leak nothing; items under one text are each a row; null
-    item keys are passed over, repeated rows of `df` are each searched.
+    Up to ITEMS items of ITEM_CHARS characters, counted, are indexed on the driver at
+    once and searched for in one pass over all rows, without a shuffle; more take
+    several passes. Null and blank texts and items leak nothing; items under one text
+    are each a row; null item keys are passed over, repeated rows of `df` are each
+    searched; other columns are not read.
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
-    source = items.select(F.col(item_key).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null").distinct()
-    n = source.count()
-    blocks = max(1, -(-n // ITEMS))
+    columns = [F.col(item_text).alias("q")] + ([F.col(item_answer).alias("a")] if item_answer else [])
+    source = items.select(F.col(item_key).cast("bigint").alias("i"), *columns).filter("i is not null and q is not null").distinct()
+    size = source.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("q")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size["n"] // ITEMS), -(-size["chars"] // ITEM_CHARS))
     out = None
     for b in range(blocks):
         part = source.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b) if blocks > 1 else source
-        index = spark.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in part.collect()]))
-        found = df.select(key, text).mapInArrow(_leaks(index, least_score, least), f"id {kind}, item bigint, coverage double, head double, tail double")
+        index = spark.sparkContext.broadcast(Index([tuple(r) for r in part.collect()]))
+        found = df.select(key, text).mapInArrow(_leaks(index, least_score, least), f"id {kind}, item bigint, coverage double, question double, answer double")
         out = found if out is None else out.union(found)
     return out.withColumnRenamed("id", key)

@@ -157,9 +157,9 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_by_task(spark: SparkSession, sf: str) -> DataFrame:
     """Per task and split: items, items that leaked, documents concerned, and pairs in which both halves did."""
-    hits = _leaks(spark, sf).select("doc_id", F.col("item").alias("item_id"), "head", "tail")
+    hits = _leaks(spark, sf).select("doc_id", F.col("item").alias("item_id"), "question", "answer")
     items = table(spark, sf, "eval_items").select("item_id", "task", "split")
-    per = hits.groupBy("item_id").agg(F.count("*").alias("documents"), F.count_if((F.col("head") > 0.5) & (F.col("tail") > 0.5)).alias("both_halves"))
+    per = hits.groupBy("item_id").agg(F.count("*").alias("documents"), F.count_if((F.col("question") > 0.5) & (F.col("answer") > 0.5)).alias("both_halves"))
     return items.join(per, "item_id", "left").groupBy("task", "split").agg(F.count("*").alias("items"), F.count("documents").alias("leaked"), F.coalesce(F.sum("documents"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("both_halves"), F.lit(0)).alias("both_halves"))
 
 

@@ -441,6 +441,31 @@ def test_bounds_drop_nothing():
                     score[int(ix.item[k])] += ix.weight[k]
         want |= {(p, i) for i, x in score.items() if x >= 0.2}
     assert got == want
+    assert 0 < ix.read <= sum(int(n) for p in range(50) for n in ix.size[np.isin(ix.terms, (ids[passage == p][:-1] * ix.base + ids[passage == p][1:]))])
+
+
+def test_index_of_many_items_reads_few_postings():
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(vocab, range(300, 0, -1), k=30))) for i in range(3000)]
+    ix = leakage.Index(items)
+    texts = pa.array([" ".join(rng.choices(vocab, range(300, 0, -1), k=150)) + " " + items[i][1] for i in range(20)])
+    ids, passage = leakage.word_ids(texts, ix.known)
+    found = set(zip(*(x.tolist() for x in ix.retrieve(ids, passage, 20, 0.5)), strict=True))
+    assert {(i, i) for i in range(20)} <= found
+    pairs = [np.unique(ids[passage == p][:-1] * ix.base + ids[passage == p][1:]) for p in range(20)]
+    assert ix.read < 0.2 * sum(int(ix.size[np.isin(ix.terms, t)].sum()) for t in pairs)
+
+
+def test_words_without_blanks_are_found(spark):
+    item = "the slow river carries seven little boats towards an empty harbour"
+    glued = "before " + item.replace(" ", "") + " after"
+    half = "x " + "".join(item.split()[:6]) + "zzzz and more"
+    odd = "theslowzebraeatsunknownthingsbeforeanyonehaslookedatit"
+    docs = spark.createDataFrame([(1, glued), (2, half), (3, odd), (4, "z" * 50_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "the slow river carries seven", "little boats towards an empty harbour")], "item_id long, q string, a string")
+    got = {r["doc_id"]: r for r in leakage.leaked_items(docs, "doc_id", "text", items, "item_id", "q", "a").collect()}
+    assert set(got) == {1, 2} and got[1]["coverage"] == 1 and got[2]["question"] == 1 and 0 < got[2]["answer"] < 0.5
 
 
 # 8 -------------------------------------------------------------------------------------------------
