@@ -224,6 +224,34 @@ def test_no_candidate_is_lost_up_to_a_fifth(spark):
     assert pairs_of(spark, rows) == {(2 * i, 2 * i + 1) for i in range(60)}
 
 
+def test_shards_and_their_delivery_change_nothing(spark, monkeypatch):
+    """Many shards, hot tokens in all records, copies, and shards sent by broadcast."""
+    rng, rows = random.Random(6), []
+    for i in range(40):
+        a = [rng.choice(["hot", "the", "of", f"w{rng.randint(0, 60)}"]) for _ in range(rng.randint(10, 30))]
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 5)):
+            b[rng.randrange(len(b))] = "new"
+        rows += [(3 * i, [a], "dev"), (3 * i + 1, [b], "train"), (3 * i + 2, [a], rng.choice(["dev", "train"]))]
+    df = spark.createDataFrame(rows, "paragraph_id long, sentences array<array<string>>, split string")
+    run = lambda **k: {(r["held_id"], r["train_id"], round(r["coverage"], 6)) for r in cross_split.overlapping(df, "paragraph_id", F.col("split") == "dev", **k).collect()}
+    one = run()
+    assert {(3 * i, 3 * i + 1) for i in range(40)} <= {x[:2] for x in one}
+    toks = {i: s[0] for i, s, _ in rows}
+    assert all(lcs(toks[e], toks[t]) >= 0.8 * max(len(toks[e]), len(toks[t])) for e, t, _ in one)
+    assert run(shard_tokens=90) == one and {x[:2] for x in run(frequent_tokens=1)} == {x[:2] for x in one}
+    monkeypatch.setattr(cross_split, "_readable", lambda path: False)
+    assert run(shard_tokens=200) == one
+
+
+def test_copies_are_classes(spark):
+    rows = [(i, [["same", "words", "in", "all", "of", "these", "many", "records"]], "dev" if i < 20 else "train") for i in range(60)]
+    df = spark.createDataFrame(rows, "paragraph_id long, sentences array<array<string>>, split string")
+    near, classes = cross_split.overlapping_classes(df, "paragraph_id", F.col("split") == "dev")
+    assert [(r["e"], r["t"], r["coverage"]) for r in near.collect()] == [(0, 20, 1.0)]
+    assert {(r["id"], r["rep"]) for r in classes.collect()} == {(i, 0 if i < 20 else 20) for i in range(60)}
+
+
 def test_moved_sentences_count_where_a_mark_is_lost():
     a = "a b c d e f . g h i j k l . m n o p q r".split()
     b = "m n o p q r a b c d e f . g h i j k l .".split()
