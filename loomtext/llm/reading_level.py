@@ -1,18 +1,21 @@
 """Problem 8: the reading level of each document.
 
-For every language and level a smoothed unigram model is trained on graded texts.
-Its terms are the language's frequent words, the length classes of all others, and
-length classes of sentences. The samples of a level fall into a plain and a
-long-winded kind (few rare words in long sentences, or the reverse), so a level
-may have two models, divided at the widest gap in sentence length. A document gets
-the level of the model with the highest posterior likelihood.
+For every language and level a unigram model is trained on graded texts. Its terms are
+all words of the language's samples, and sentence ends, told apart by how long the
+sentence was. A word's probability is its relative frequency at the level, smoothed
+towards that of its class at the level times its share of the class in the language;
+a frequent word is a class of its own, others are classed by length, and what a class
+holds of words not seen is estimated from those of one text only. The samples of a
+level fall into a plain and a long-winded kind (few rare words in long sentences, or
+the reverse), so a level may be a mixture of two models, divided at the widest gap in
+sentence length. A document gets the level with the highest posterior likelihood.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +31,13 @@ from loomtext.llm.lookalike import table_form
 #: Labelled texts used for training, at most; beyond, those least by hash.
 MAX_SAMPLES = 20_000
 MIN_WORDS = 60
-#: A word stands for itself if at least this share of the language's samples have it.
+#: A word is a class of its own if at least this share of the language's samples have it.
 FREQUENT = 0.5
+#: Weight, in words, of the class's estimate against the word's own count at a level.
+SMOOTHING = 10_000.0
 ALPHA = 0.5
 LENGTH_STEP, LENGTH_TOP = 2, 10
 SENTENCE_STEP, SENTENCE_TOP = 3, 12
-#: A sentence weighs as much as two words.
-SENTENCE_WEIGHT = 2
 #: Two kinds of samples differ by at least this in the logarithm of sentence length.
 GAP = 0.2
 _NOT_WORD = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
@@ -45,13 +48,16 @@ _STOP = "\u2029"
 
 def running_text(text: str) -> str:
     """The text without markup and without menu lines: lines of at most five words
-    that end no sentence. Blank lines end a sentence."""
+    that end no sentence, unless they hold half of the words or more, as in verse and
+    lists. Blank lines end a sentence."""
     text = re.sub(MARKUP, " ", text)
     if "\n" not in text and "\r" not in text:
         return text
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     kept = [x for x in lines if not x.strip() or len(x.split(None, 6)) > 5 or _END.match(x.rstrip())]
-    return "\n".join(x if x.strip() else f" {_STOP} " for x in kept) if kept else text
+    if 2 * sum(len(x.split()) for x in kept) <= len(text.split()):
+        kept = lines
+    return "\n".join(x if x.strip() else f" {_STOP} " for x in kept)
 
 
 class Chunks:
@@ -87,42 +93,71 @@ def _prepare(texts: list[str | None]) -> list[str]:
     return [running_text(t).replace(_STOP, " ¦. ") if t else "" for t in texts]
 
 
+class Language:
+    """The words of a language with their classes, and the models of its levels."""
+
+    def __init__(self, rows: list[tuple[str, int]], smoothing: float) -> None:
+        ch = Chunks(_prepare([t for t, _ in rows]))
+        there = ch.there[ch.codes]
+        row, code = ch.row[there], ch.codes[there]
+        script = ch.script[code]
+        self.script = int(np.bincount(script[script >= 0], minlength=4).argmax()) if (script >= 0).any() else 3
+        known = sorted({ch.words[c] for c in np.unique(code)})
+        # terms: unknown words by length, then the known ones
+        first = LENGTH_TOP + 1
+        self.term = {w: first + i for i, w in enumerate(known)}
+        terms = self.terms(ch)[code]
+        size = first + len(known)
+        texts = np.bincount(np.unique(row * size + terms) % size, minlength=size)
+        self.frequent = texts >= max(1.0, FREQUENT * len(rows))
+        kind = np.r_[np.arange(first), [min(LENGTH_TOP, len(w) // LENGTH_STEP) for w in known]].astype(np.int64)
+        kind[self.frequent] = first + np.arange(int(self.frequent.sum()))
+        kinds = first + int(self.frequent.sum())
+        total = np.bincount(terms, minlength=size).astype(float)
+        total[:first] = np.bincount(kind[texts == 1], minlength=kinds)[:first] + 1.0
+        share = total / np.bincount(kind, total, kinds)[kind]
+
+        s_row, s_class = ch.sentences()
+        mean = np.bincount(row, minlength=len(rows)) / np.maximum(1, np.bincount(s_row, minlength=len(rows)))
+        parts = [(level, part) for level in sorted({k for _, k in rows}) for part in self._parted([i for i, (_, k) in enumerate(rows) if k == level], mean)]
+        self.levels = np.array([level for level, _ in parts])
+        self.prior = np.log(np.array([len(part) for _, part in parts]) / len(rows))
+        words, ends = [], []
+        for _, part in parts:
+            count = np.bincount(terms[np.isin(row, part)], minlength=size).astype(float)
+            of_kind = np.bincount(kind, count, kinds) + ALPHA
+            words.append(np.log((count + smoothing * of_kind[kind] / of_kind.sum() * share) / (count.sum() + smoothing)))
+            stops = np.bincount(s_class[np.isin(s_row, part)], minlength=SENTENCE_TOP + 1) + ALPHA
+            ends.append(np.log(stops / stops.sum()))
+        self.words, self.ends = np.array(words), np.array(ends)
+
+    @staticmethod
+    def _parted(own: list[int], mean: np.ndarray) -> list[list[int]]:
+        own = sorted(own, key=lambda i: (mean[i], i))
+        gaps = [(math.log(max(mean[own[i + 1]], 1e-9) / max(mean[own[i]], 1e-9)), i + 1) for i in range(1, len(own) - 2)]
+        wide, at = max(gaps, default=(0.0, 0))
+        return [own[:at], own[at:]] if wide >= GAP else [own]
+
+    def terms(self, ch: Chunks) -> np.ndarray:
+        return np.fromiter((self.term.get(w, n) for w, n in zip(ch.words, ch.length.tolist(), strict=True)), np.int64, len(ch.words))
+
+    def posteriors(self, row: np.ndarray, terms: np.ndarray, s_row: np.ndarray, s_class: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """The levels, and the log posterior of each for every text, up to a constant;
+        those of a level's models are summed."""
+        score = np.stack([p + np.bincount(row, w[terms], count) + np.bincount(s_row, e[s_class], count) for p, w, e in zip(self.prior, self.words, self.ends, strict=True)])
+        tops = np.unique(self.levels)
+        return tops, np.stack([np.logaddexp.reduce(score[self.levels == x], axis=0) for x in tops])
+
+
 class Models:
     """The models of all languages and levels."""
 
-    def __init__(self, samples: list[tuple[str, str, int]]) -> None:
-        self.langs, self.by = [], {}
+    def __init__(self, samples: list[tuple[str, str, int]], smoothing: float = SMOOTHING) -> None:
         by_lang = defaultdict(list)
         for text, lang, level in samples:
             by_lang[lang].append((text, level))
-        for lang, rows in sorted(by_lang.items()):
-            ch = Chunks(_prepare([t for t, _ in rows]))
-            words = [[ch.words[c] for c in ch.codes[ch.row == i] if ch.there[c]] for i in range(len(rows))]
-            seen = Counter(w for ws in words for w in set(ws))
-            keep = {w: LENGTH_TOP + 1 + k for k, w in enumerate(sorted(w for w, n in seen.items() if n >= FREQUENT * len(rows)))}
-            script = int(np.bincount(ch.script[ch.codes][ch.script[ch.codes] >= 0], minlength=4).argmax()) if len(ch.codes) else 3
-            terms = self._terms(ch, keep)
-            s_row, s_class = ch.sentences()
-            mean = np.bincount(ch.row, ch.there[ch.codes], len(rows)) / np.maximum(1, np.bincount(s_row, minlength=len(rows)))
-            kinds, logs, s_logs, levels = [], [], [], []
-            for level in sorted({k for _, k in rows}):
-                own = sorted((i for i, (_, k) in enumerate(rows) if k == level), key=lambda i: (mean[i], i))
-                gaps = [(math.log(max(mean[own[i + 1]], 1e-9) / max(mean[own[i]], 1e-9)), i + 1) for i in range(1, len(own) - 2)]
-                wide, at = max(gaps, default=(0.0, 0))
-                for part in (own[:at], own[at:]) if wide >= GAP else (own,):
-                    kinds.append(len(part))
-                    levels.append(level)
-                    mine = np.isin(ch.row, part) & ch.there[ch.codes]
-                    c = np.bincount(terms[ch.codes[mine]], minlength=LENGTH_TOP + 1 + len(keep)) + ALPHA
-                    s = np.bincount(s_class[np.isin(s_row, part)], minlength=SENTENCE_TOP + 1) * SENTENCE_WEIGHT + ALPHA
-                    logs.append(np.log(c / c.sum()))
-                    s_logs.append(np.log(s / s.sum()))
-            self.langs.append(lang)
-            self.by[lang] = {"keep": keep, "script": script, "levels": np.array(levels), "prior": np.log(np.array(kinds) / sum(kinds)), "terms": np.array(logs), "sentences": np.array(s_logs) * SENTENCE_WEIGHT}
-
-    @staticmethod
-    def _terms(ch: Chunks, keep: dict[str, int]) -> np.ndarray:
-        return np.fromiter((keep.get(w, n) for w, n in zip(ch.words, ch.length.tolist(), strict=True)), np.int64, len(ch.words))
+        self.by = {lang: Language(rows, smoothing) for lang, rows in sorted(by_lang.items())}
+        self.langs = list(self.by)
 
     def assign(self, texts: list[str | None]) -> tuple[np.ndarray, list[str | None], np.ndarray]:
         """(level, language, log odds to the next level) of each text; level 0 where
@@ -134,10 +169,10 @@ class Models:
         script = ch.script[ch.codes]
         by_script = np.stack([np.bincount(ch.row[script == i], minlength=ch.count) for i in range(len(_SCRIPT))])
         total, main = by_script.sum(0), by_script.argmax(0)
-        terms = [self._terms(ch, self.by[k]["keep"]) for k in self.langs]
-        votes = np.stack([np.bincount(ch.row, (t > LENGTH_TOP)[ch.codes], ch.count) for t in terms])
+        terms = [self.by[k].terms(ch) for k in self.langs]
+        votes = np.stack([np.bincount(ch.row, self.by[k].frequent[t][ch.codes], ch.count) for k, t in zip(self.langs, terms, strict=True)])
         for i, k in enumerate(self.langs):
-            votes[i][(main != self.by[k]["script"]) | (total == 0)] = -1
+            votes[i][(main != self.by[k].script) | (total == 0)] = -1
         best, vote = votes.argmax(0), votes.max(0)
         # a language's frequent words make up a tenth of its texts at the very least
         name = np.where((vote >= 0) & (vote >= 0.1 * total), best, -1)
@@ -146,13 +181,9 @@ class Models:
             own = name == i
             if not own.any():
                 continue
-            m = self.by[k]
             use, s_use = own[ch.row] & ch.there[ch.codes], own[s_row]
-            row, t, sr, sc = ch.row[use], terms[i][ch.codes[use]], s_row[s_use], s_class[s_use]
-            score = np.stack([p + np.bincount(row, w[t], ch.count) + np.bincount(sr, s[sc], ch.count) for p, w, s in zip(m["prior"], m["terms"], m["sentences"], strict=True)])
-            tops = sorted(set(m["levels"].tolist()))
-            per = np.stack([score[m["levels"] == x].max(0) for x in tops])
-            level[own] = np.array(tops)[per.argmax(0)][own]
+            tops, per = self.by[k].posteriors(ch.row[use], terms[i][ch.codes[use]], s_row[s_use], s_class[s_use], ch.count)
+            level[own] = tops[per.argmax(0)][own]
             ranked = np.sort(per, axis=0)
             odds[own] = (ranked[-1] - ranked[-2])[own] if len(tops) > 1 else 0.0
         return level, [self.langs[i] if i >= 0 else None for i in name.tolist()], odds
