@@ -124,6 +124,16 @@ CASES = [
     "Heading without an end",
     "THE DOG SAT ... AND DR . BO RAN ... | THE CAT . | ( HER HAT . )",
     "Тhе dоg ѕat​ . | Ｔｈｅ end ．",
+    "He works at Acme Inc . in Ohio . | Gov . Smith left on Jan . 5 . | She has a Ph . D . in maths .",
+    "He joined Acme Inc . | She has a Ph . D . | They ate apples , etc . and left the house .",
+    "the cat has milk etc . | her dog sat .",
+    "Это т . е . хорошо . | Она живёт на ул . Мира , и т . д . | Он ушёл в 1999 г . и не вернулся .",
+    "El Sr . García y la Sra . López viven en la casa . | Los Dres . Ruiz van con él .",
+    "Il sig . Rossi è di Roma . | Non ha una casa .",
+    "O Sr . Silva não está em casa . | As ruas são p . ex . largas .",
+    "De heer is dhr . Jansen en hij woont op nr . 5 . | Dat is het .",
+    "To jest ul . Długa , itd . | Nie ma tam prof . Nowaka .",
+    "The U . S . Army is here . | It is on the hill .",
 ]
 
 
