@@ -17,6 +17,14 @@ def valid_corpus(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return latest(spread(table(spark, sf, "process_corpus").select(*need)), "paragraph_id", "ingested_at").select(*columns)
 
 
+def _few(df: DataFrame, most: int) -> list:
+    """All rows of a small table; more than `most` are refused, not left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of settings with over {most} rows")
+    return rows
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     counts = term_frequency.ngram_frequency(valid_corpus(spark, sf, "sentences"))
     return term_frequency.mark_terms(counts).filter("mark is not null").select(F.col("gram")[0].alias("term"), "mark")
@@ -24,8 +32,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_unique_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Each newest claim of corpus_statistics beside the tokens really there."""
-    tokens = valid_corpus(spark, sf, "shard", "source", "sentences").filter("source is not null").select("shard", "source", F.explode(F.flatten("sentences")).alias("token"))
-    real = tokens.groupBy("shard", "source", "token").agg(F.count("*").alias("tf")).groupBy("shard", "source").agg(F.count("*").alias("unique_found"), F.sum("tf").alias("words_found"))
+    rows = valid_corpus(spark, sf, "shard", "source", "sentences").filter("source is not null")
+    real = term_frequency.distinct_terms(rows, ["shard", "source"]).select("shard", "source", F.col("unique_terms").alias("unique_found"), F.col("words").alias("words_found"))
     claims = table(spark, sf, "corpus_statistics").select("shard", "source", "unique_tokens", "computed_at")
     newest = claims.groupBy("shard", "source").agg(F.max_by("unique_tokens", "computed_at").alias("unique_claimed"))
     return newest.join(real, ["shard", "source"], "left").select("shard", "source", "unique_claimed", F.coalesce("unique_found", F.lit(0)).alias("unique_found"), F.coalesce("words_found", F.lit(0)).alias("words_found"), F.coalesce(F.col("unique_claimed") == F.col("unique_found"), F.lit(False)).alias("agrees"))
@@ -76,7 +84,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
     """The split of every record, in the shares of split_ratio."""
     records, _ = group_split.related_groups(_spelling(spark, sf), "pair_id", ["correct", "typo"])
-    shares = {r["split"]: r["share"] for r in table(spark, sf, "split_ratio").limit(100).collect()}
+    shares = {r["split"]: r["share"] for r in _few(table(spark, sf, "split_ratio"), 1_000)}
     splits = group_split.deal(records.select("group_id", "group_size").distinct(), shares)
     return records.join(splits.select("group_id", "split"), "group_id").select("pair_id", "group_id", "split")
 
@@ -136,7 +144,7 @@ def p5_spellings(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_assignment(spark: SparkSession, sf: str) -> DataFrame:
     """The container or containers of every document, for each kind of pack_capacity."""
-    kinds = {r["container"]: r["capacity_tokens"] for r in table(spark, sf, "pack_capacity").limit(1000).collect()}
+    kinds = {r["container"]: r["capacity_tokens"] for r in _few(table(spark, sf, "pack_capacity"), 1_000)}
     return packing.pack(packing.token_sizes(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text"), "doc_id", "tokens", kinds)
 
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +77,67 @@ def intervals(codes: np.ndarray, record: np.ndarray, max_n: int, depth: int) ->
         yield n, order[starts[whole]], tf[whole], df[whole]
 
 
+def members(codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """A position of each distinct code of each owner: in a code's interval of the
+    suffix array the suffixes without a predecessor of the same owner."""
+    order = np.lexsort((owner, codes))
+    c, o = codes[order], owner[order]
+    return order[np.r_[True, (c[1:] != c[:-1]) | (o[1:] != o[:-1])]] if len(order) else order
+
+
+def _distinct(by: list[str], buckets: int, block_tokens: int):
+    def emit(parts: list[tuple[pa.Array, np.ndarray]], keys: dict, types: list) -> Iterator[pa.RecordBatch]:
+        words = pa.chunked_array([w for w, _ in parts]).combine_chunks()
+        owner = np.concatenate([o for _, o in parts])
+        coded = words.dictionary_encode()
+        codes = np.asarray(coded.indices).astype(np.int64)
+        at = members(codes, owner)
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))[codes[at]]
+        order = np.lexsort((codes[at], bucket, owner[at]))
+        at, bucket = at[order], bucket[order]
+        own = owner[at]
+        starts = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (bucket[1:] != bucket[:-1])])
+        total = np.bincount(owner, minlength=len(keys))
+        first = np.r_[True, own[starts][1:] != own[starts][:-1]]  # a group's tokens are reported once a block
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(at)], pa.int32()), coded.dictionary.take(pa.array(codes[at])))
+        names = list(keys)
+        columns = [pa.array([names[g][i] for g in own[starts].tolist()], t) for i, t in enumerate(types)]
+        yield pa.record_batch({"by": pa.StructArray.from_arrays(columns, by), "bucket": pa.array(bucket[starts], pa.int32()), "tokens": lists, "words": pa.array(np.where(first, total[own[starts]], 0), pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, keys, types = [], 0, {}, []
+        for batch in batches:
+            words, row = tokens_of(batch.column(len(by)))
+            types = [batch.column(i).type for i in range(len(by))]
+            group = np.fromiter((keys.setdefault(k, len(keys)) for k in zip(*(batch.column(i).to_pylist() for i in range(len(by))), strict=True)), np.int64, batch.num_rows)
+            if len(words):
+                parts.append((words.cast(pa.string()), group[row]))
+                held += len(words)
+            if held >= block_tokens:
+                yield from emit(parts, keys, types)
+                parts, held, keys = [], 0, {}
+        if held:
+            yield from emit(parts, keys, types)
+
+    return run
+
+
+def distinct_terms(df: DataFrame, by: list[str], sentences: str = "sentences", *, buckets: int = 16, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Per group of rows with equal columns `by`: `unique_terms`, how many distinct
+    tokens it has, and `words`, how many tokens.
+
+    Each task reports a group's distinct tokens once, in lists by hash, so that a group
+    of any size is spread over `buckets` parts. Null and equal values of `by` group as
+    in SQL; groups without a token, and an empty table, give no row; other columns are
+    not read.
+    """
+    types = ", ".join(f"`{c}`: {df.schema[c].dataType.simpleString()}" for c in by)
+    parts = df.select(*by, sentences).mapInArrow(_distinct(by, buckets, block_tokens), f"by struct<{types}>, bucket int, tokens array<string>, words bigint")
+    met = parts.repartition("by", "bucket").select("by", "bucket", "words", F.posexplode("tokens").alias("pos", "token"))
+    met = met.groupBy("by", "bucket", "token").agg(F.sum(F.when(F.col("pos") == 0, F.col("words")).otherwise(0)).alias("words"))
+    return met.groupBy("by").agg(F.count("*").alias("unique_terms"), F.sum("words").alias("words")).select("by.*", "unique_terms", "words")
+
+
 def _counter(max_n: int, depth: int, block_tokens: int):
     def emit(parts: list[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         words = pa.chunked_array([w for w, _ in parts]).combine_chunks()

@@ -43,6 +43,19 @@ def test_ngrams_against_counting(spark, block):
     assert total == (sum(c for g, (c, _) in got.items() if len(g) == 1), sum(1 for _, s in rows if any(w is not None for x in s or [] for w in x)))
 
 
+@pytest.mark.parametrize("block", [1, 10_000])
+def test_distinct_terms_of_groups(spark, block):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["x", "y", None]), rng.randint(0, 2), [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 6))]]) for i in range(80)] + [(99, "none", 7, None), (98, "empty", 7, [[]]), (97, "null", 7, [[None, "a"], None])]
+    df = spark.createDataFrame(rows, "id int, by string, tokens int, sentences array<array<string>>")
+    want: dict = defaultdict(list)
+    for _, b, t, s in rows:
+        want[b, t] += [w for x in s or [] for w in x or [] if w is not None]
+    got = {(r["by"], r["tokens"]): (r["unique_terms"], r["words"]) for r in term_frequency.distinct_terms(df, ["by", "tokens"], block_tokens=block).collect()}
+    assert got == {k: (len(set(v)), len(v)) for k, v in want.items() if v}
+    assert term_frequency.distinct_terms(df.limit(0), ["by"]).count() == 0
+
+
 def test_marks(spark):
     rows = [(i, [["often", f"once{i}"] + (["some"] if i < 3 else [])]) for i in range(20)]
     m = {r["gram"][0]: r["mark"] for r in term_frequency.mark_terms(term_frequency.ngram_frequency(paras(spark, rows))).collect()}
