@@ -3,10 +3,11 @@
 Records with a common word form a graph: its vertices are the words of either
 side, its edges the records. A Boruvka contraction builds a spanning forest: in
 each round every component picks its least outgoing edge (edges are totally
-ordered by record id), the picked edges join the persisted forest, components
-are relabelled by pointer jumping, and edges within a component go. The number
-of components at least halves, so there are at most log2(vertices) rounds. Roots
-are stratified by size band and dealt systematically to the splits.
+ordered by record id), the picked edges join the persisted forest with the component
+that each contracts into, found by pointer jumping, and edges within a component go.
+The number of components at least halves, so there are at most log2(vertices) rounds.
+Every vertex finds its root in the persisted forest, from the last round back to the
+first. Roots are stratified by size band and dealt systematically to the splits.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import types as T
 
 from loomtext.functions.lineage import cut, drop_cut
 
-#: Components of more than one part in this many of all records are placed one
-#: by one; there can't be more of them than this.
-GIANTS = 1000
+#: Groups of more than one part in this many of all records, and of more than LEAST
+#: records, are placed one by one; there can't be more of them than this.
+GIANTS, LEAST = 200, 8
 #: Groups of a band that are ranked by one task, about.
 RANKED = 200_000
 
@@ -48,8 +49,7 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Boruvka over `edges` (u, v, w; w distinct). Returns the component label of
     every vertex (`vertex`, `root`) and the forest (`w` of its edges)."""
     vertices = edges.select(F.col("u").alias("vertex")).union(edges.select("v")).distinct()
-    labels = cut(vertices.withColumn("root", F.col("vertex")))
-    live, forest = cut(edges.filter("u <> v").select("u", "v", "w")), []
+    live, forest, contracted = cut(edges.filter("u <> v").select("u", "v", "w")), [], []
     while True:
         ends = live.select(F.col("u").alias("c"), F.col("v").alias("to"), "w").union(live.select(F.col("v").alias("c"), F.col("u").alias("to"), "w"))
         picked = cut(ends.groupBy("c").agg(F.min(F.struct("w", "to")).alias("m")).select("c", F.col("m.to").alias("to"), F.col("m.w").alias("w")))
@@ -70,11 +70,21 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
             drop_cut(jumped)
             if not moved:
                 break
-        labels = cut(labels.join(up.withColumnRenamed("c", "root"), "root", "left").select("vertex", F.coalesce("p", "root").alias("root")), replaces=labels)
+        contracted.append(up)
         a, b = up.select(F.col("c").alias("u"), F.col("p").alias("pu")), up.select(F.col("c").alias("v"), F.col("p").alias("pv"))
         nxt = live.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v"), "w").filter("u <> v")
         live = cut(nxt.groupBy("u", "v").agg(F.min("w").alias("w")), replaces=live)
+    # a component contracts once, into one that may do so in a later round
+    rooted = None
+    for up in reversed(contracted):
+        own = up.filter("c <> p")
+        if rooted is None:
+            rooted = cut(own.select(F.col("c").alias("vertex"), F.col("p").alias("root")))
+        else:
+            later = rooted.select(F.col("vertex").alias("p"), "root")
+            rooted = cut(own.join(later, "p", "left").select(F.col("c").alias("vertex"), F.coalesce("root", "p").alias("root")).union(rooted), replaces=rooted)
         drop_cut(up)
+    labels = cut(vertices.join(rooted, "vertex", "left").select("vertex", F.coalesce("root", "vertex").alias("root")), replaces=rooted) if rooted is not None else cut(vertices.withColumn("root", F.col("vertex")))
     forest_df = forest[0] if forest else edges.select("w").limit(0)
     for more in forest[1:]:
         forest_df = forest_df.union(more)
@@ -108,8 +118,8 @@ def related_groups(df: DataFrame, key: str, words: list[str]) -> tuple[DataFrame
 def deal(groups: DataFrame, shares: dict[str, float], *, salt: int = 0) -> DataFrame:
     """Give each group (`group_id`, `group_size`) a `split` in the wanted shares.
 
-    Groups beyond a thousandth of all records (at most GIANTS, so they fit the
-    driver) go one by one to the split that lacks most. All others are taken band
+    Groups of over LEAST records and over one part in GIANTS of all (so there are at
+    most GIANTS) go one by one to the split that lacks most. All others are taken band
     by band (size between powers of two), in an order by hash, and dealt at evenly
     spaced positions, so that each band is divided in the shares still wanted. The
     position within a band is a bucket's offset plus the rank in the bucket: no
@@ -120,7 +130,7 @@ def deal(groups: DataFrame, shares: dict[str, float], *, salt: int = 0) -> DataF
     wanted = {k: max(0.0, float(v or 0)) for k, v in sorted(shares.items())}
     scale = sum(wanted.values()) or 1.0
     need = {k: v / scale * total for k, v in wanted.items()}
-    giant = F.col("group_size") > total / GIANTS
+    giant = (F.col("group_size") > total / GIANTS) & (F.col("group_size") > LEAST)
     placed = []
     for r in sorted(groups.filter(giant).collect(), key=lambda r: (-r["group_size"], r["group_id"])):
         to = max(need, key=lambda k: (need[k], k))
@@ -144,7 +154,7 @@ def deal(groups: DataFrame, shares: dict[str, float], *, salt: int = 0) -> DataF
     choice: Column = F.lit(edges[-1][0]) if edges else F.lit(None).cast("string")
     for k, upto in reversed(edges[:-1]):
         choice = F.when(u < upto, k).otherwise(choice)
-    dealt = rest.join(F.broadcast(offsets), ["band", "bucket"]).select("group_id", "group_size", choice.alias("split"))
+    dealt = rest.join(offsets, ["band", "bucket"]).select("group_id", "group_size", choice.alias("split"))
     if not placed:
         return dealt
     return dealt.union(groups.sparkSession.createDataFrame(placed, "group_id bigint, group_size bigint, split string"))

@@ -11,12 +11,14 @@ multiplicities; texts get their places by rank within their size.
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from loomtext.functions.lineage import cut
 #: The public pattern by which texts are split before the merges of a rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Segments of containers that are broadcast, at most (some 40 bytes each).
+BROADCAST = 1_000_000
 #: Rows that are ranked by one task, about.
 RANKED = 200_000
 
@@ -33,6 +37,8 @@ RANKED = 200_000
 def _encoding(ranks: str, pattern: str):
     import tiktoken
 
+    if not os.path.exists(ranks):
+        ranks = SparkFiles.get(os.path.basename(ranks))
     with open(ranks, "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
@@ -49,7 +55,9 @@ def _sizes(ranks: str, pattern: str):
 
 
 def token_sizes(df: DataFrame, key: str, text: str, *, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """`key` and the `tokens` of each row's whole text; 0 for a null or empty text."""
+    """`key` and the `tokens` of each row's whole text; 0 for a null or empty text.
+    The rank file is at `ranks` on the driver and sent to nodes that lack it."""
+    df.sparkSession.sparkContext.addFile(ranks)
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(_sizes(ranks, pattern), f"id {kind}, tokens bigint").withColumnRenamed("id", key)
 
@@ -63,7 +71,9 @@ def reduce_and_fit(histogram: dict[int, int], capacity: int) -> tuple[list[tuple
     container or no two others fit; if no three others fit, {j, j*, b}, with b the
     largest beside both, is fixed where b is no smaller than any item that could be
     the lesser of two. Each replaces, item by item, whatever an optimal packing puts
-    beside j.
+    beside j. What decides does not change until one of these sizes runs out, so as
+    many containers are fixed at once, and there are no more patterns than a few per
+    size, however many items.
     """
     left = {s: n for s, n in histogram.items() if n > 0}
     sizes = sorted(left)
@@ -99,7 +109,7 @@ def reduce_and_fit(histogram: dict[int, int], capacity: int) -> tuple[list[tuple
                 continue
             b = fits(room - a, (j, a))
             if b and 3 * least > room and b >= fits(room // 2, ()):
-                fix((j, a, b), 1)
+                fix((j, a, b), min(left[s] // (j, a, b).count(s) for s in (j, a, b)))
                 continue
             break
     rest = {s: left[s] for s in sizes}
@@ -181,11 +191,11 @@ def pack(sizes: DataFrame, key: str, tokens: str, capacities: dict[str, int]) ->
                 segments.append((s, used[s], used[s] + n * k, base, k))
                 used[s] += n * k
             base += n
-        # a size has as many segments as patterns it is in; their number is bounded by the capacity
+        # there are a few patterns per size, with at most `capacity` sizes; counted all the same
         places = spark.createDataFrame(segments, "size bigint, lo bigint, hi bigint, base bigint, per int") if segments else spark.createDataFrame([], "size bigint, lo bigint, hi bigint, base bigint, per int")
         before = counts.select("size", "bucket", (F.sum("n").over(Window.partitionBy("size").orderBy("bucket")) - F.col("n")).alias("before"))
         ranked = items.withColumn("rn", F.row_number().over(Window.partitionBy("size", "bucket").orderBy("id", "piece"))).join(before, ["size", "bucket"]).withColumn("at", F.col("before") + F.col("rn") - 1)
-        placed = ranked.join(F.broadcast(places), (ranked["size"] == places["size"]) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
+        placed = ranked.join(F.broadcast(places) if len(segments) <= BROADCAST else places, (ranked["size"] == places["size"]) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
         placed = placed.select("id", F.lit(name).alias("container"), F.lit(c).alias("capacity"), "piece", ranked["size"].alias("piece_tokens"), (F.col("base") + F.floor((F.col("at") - F.col("lo")) / F.col("per"))).alias("bin"))
         out = placed if out is None else out.unionByName(placed)
     if out is None:

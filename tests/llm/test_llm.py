@@ -428,6 +428,19 @@ def test_token_sizes_follow_the_tokeniser(spark):
     assert got == {i: len(enc.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}
 
 
+def test_triples_are_fixed_many_at_a_time():
+    for n in (10, 1_000, 100_000):
+        patterns, fixed = packing.reduce_and_fit({600: n, 260: n, 140: n}, 1000)
+        assert patterns == [((600, 260, 140), n)] and fixed == n
+    patterns, _ = packing.reduce_and_fit({s: 10_000 + s for s in range(1, 1001)}, 1000)
+    assert len(patterns) < 4_000 and all(sum(g) <= 1000 for g, _ in patterns)
+    held = Counter()
+    for g, n in patterns:
+        for s in g:
+            held[s] += n
+    assert held == {s: 10_000 + s for s in range(1, 1001)}
+
+
 # 7 -------------------------------------------------------------------------------------------------
 def test_leaks(spark):
     rng = random.Random(9)
