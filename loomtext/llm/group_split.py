@@ -115,15 +115,37 @@ def related_groups(df: DataFrame, key: str, words: list[str]) -> tuple[DataFrame
     return out, forest
 
 
+def _dealt(groups: DataFrame, need: dict[str, float], salt: int, buckets: int) -> DataFrame:
+    """Deal groups in proportion to `need`, band by band: the k-th group of a band in
+    the order of a hash gets the split at the k-th multiple of the golden ratio, which
+    deals every stretch of a band evenly. The rank within a band is a bucket's offset
+    plus the rank in the bucket, so no task sees a whole band."""
+    left = sum(max(0.0, v) for v in need.values()) or 1.0
+    edges, upto = [], 0.0
+    for k, v in need.items():
+        upto += max(0.0, v) / left
+        edges.append((k, upto))
+    draw = F.xxhash64("group_id", F.lit(salt))
+    rows = groups.select("group_id", "group_size", F.floor(F.log2("group_size")).cast("int").alias("band"), draw.alias("draw"))
+    rows = rows.withColumn("bucket", F.pmod("draw", F.lit(buckets)).cast("int"))
+    per = rows.groupBy("band", "bucket").agg(F.count("*").alias("n"))
+    offsets = per.select("band", "bucket", (F.sum("n").over(Window.partitionBy("band").orderBy("bucket")) - F.col("n")).alias("offset"))
+    rank = F.col("offset") + F.row_number().over(Window.partitionBy("band", "bucket").orderBy("draw", "group_id"))
+    u = ((rank - 0.5) * F.lit(0.6180339887498949)) % 1
+    choice: Column = F.lit(edges[-1][0]) if edges else F.lit(None).cast("string")
+    for k, upto in reversed(edges[:-1]):
+        choice = F.when(u < upto, k).otherwise(choice)
+    return rows.join(offsets, ["band", "bucket"]).select("group_id", "group_size", choice.alias("split"))
+
+
 def deal(groups: DataFrame, shares: dict[str, float], *, salt: int = 0) -> DataFrame:
     """Give each group (`group_id`, `group_size`) a `split` in the wanted shares.
 
     Groups of over LEAST records and over one part in GIANTS of all (so there are at
-    most GIANTS) go one by one to the split that lacks most. All others are taken band
-    by band (size between powers of two), in an order by hash, and dealt at evenly
-    spaced positions, so that each band is divided in the shares still wanted. The
-    position within a band is a bucket's offset plus the rank in the bucket: no
-    task sees a whole band. No groups: no rows. Shares need not add up to 1.
+    most GIANTS) go one by one to the split that lacks most. All others are dealt
+    systematically within bands of size (between powers of two); those of one record
+    last, in the shares that are still wanted. No groups: no rows. Shares need not add
+    up to 1.
     """
     total, count = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0)), F.count("*")).first()
     buckets = max(64, count // RANKED)
@@ -136,25 +158,11 @@ def deal(groups: DataFrame, shares: dict[str, float], *, salt: int = 0) -> DataF
         to = max(need, key=lambda k: (need[k], k))
         need[to] -= r["group_size"]
         placed.append((r["group_id"], r["group_size"], to))
-    left = sum(max(0.0, v) for v in need.values()) or 1.0
-    edges, upto = [], 0.0
-    for k, v in need.items():
-        upto += max(0.0, v) / left
-        edges.append((k, upto))
-    draw = F.xxhash64("group_id", F.lit(salt))
-    rest = groups.filter(~giant).select("group_id", "group_size", F.floor(F.log2("group_size")).cast("int").alias("band"), draw.alias("draw"))
-    rest = rest.withColumn("bucket", F.pmod("draw", F.lit(buckets)).cast("int"))
-    per = rest.groupBy("band", "bucket").agg(F.sum("group_size").alias("n"))
-    by_band = Window.partitionBy("band")
-    offsets = per.select("band", "bucket", (F.sum("n").over(by_band.orderBy("bucket")) - F.col("n")).alias("offset"), F.sum("n").over(by_band).alias("band_n"))
-    order = Window.partitionBy("band", "bucket").orderBy("draw", "group_id")
-    at = (F.col("offset") + F.sum("group_size").over(order) - F.col("group_size") / 2) / F.col("band_n")
-    # golden-ratio spacing deals every stretch of a band evenly over all splits
-    u = (F.floor(at * F.col("band_n")) * F.lit(0.6180339887498949)) % 1
-    choice: Column = F.lit(edges[-1][0]) if edges else F.lit(None).cast("string")
-    for k, upto in reversed(edges[:-1]):
-        choice = F.when(u < upto, k).otherwise(choice)
-    dealt = rest.join(offsets, ["band", "bucket"]).select("group_id", "group_size", choice.alias("split"))
+    out = cut(_dealt(groups.filter(~giant & (F.col("group_size") > 1)), need, salt, buckets))
+    for r in out.groupBy("split").agg(F.sum("group_size").alias("n")).collect():
+        if r["split"] is not None:
+            need[r["split"]] -= r["n"]
+    out = out.union(_dealt(groups.filter("group_size <= 1"), need, salt, buckets))
     if not placed:
-        return dealt
-    return dealt.union(groups.sparkSession.createDataFrame(placed, "group_id bigint, group_size bigint, split string"))
+        return out
+    return out.union(groups.sparkSession.createDataFrame(placed, "group_id bigint, group_size bigint, split string"))
