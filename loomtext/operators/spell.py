@@ -181,13 +181,22 @@ def context_counts(vocab: DataFrame) -> DataFrame:
     return grams.groupBy("ctx").agg(F.sum("n").alias("cc"))
 
 
-def channel(cands: DataFrame, edits: DataFrame, contexts: DataFrame | None = None, *by: str) -> DataFrame:
-    """(typo, cand, n, identity, lp): the log probability of the likeliest single edit
-    that gives the candidate, without the probability that there is an error (P4 P5).
-    With `contexts`, edits are conditional on their correct side. Of columns `by`,
-    `edits` has a table each."""
+def aligned_counts(pairs: DataFrame, cands: DataFrame, *by: str) -> DataFrame:
+    """(edit, c): weights of the edits of every pair's minimal alignment, the shortest
+    sequence and of these the first in order, among those of `cands` (P9)."""
+    ways = pairs.join(cands.select("typo", F.col("cand").alias("correct"), "edits"), ["typo", "correct"])
+    least = ways.groupBy("typo", "correct", "weight", *by).agg(F.min(F.struct(F.size("edits"), "edits")).alias("m"))
+    return least.select("weight", *by, F.explode("m.edits").alias("edit")).groupBy("edit", *by).agg(F.sum("weight").alias("c"))
+
+
+def channel(cands: DataFrame, edits: DataFrame, contexts: DataFrame | None = None, *by: str, most: int = 2) -> DataFrame:
+    """(typo, cand, n, identity, lp): the log probability of the likeliest sequence of
+    up to `most` edits that gives the candidate, without the probability that there is
+    an error; a candidate that is the typo itself is no error (P4 P5). With `contexts`,
+    edits are conditional on their correct side. Of columns `by`, `edits` has a table
+    each. Labels are few: pairs of letters, and each has one probability."""
     total = edits.groupBy(*by).agg(F.sum("c").alias("total"))
-    labels = cands.select(F.try_element_at("edits", F.lit(1)).alias("edit")).filter("edit is not null").distinct()
+    labels = cands.select(F.explode("edits").alias("edit")).distinct()
     if by:
         groups = total.select(*by)
         labels = labels.crossJoin(F.broadcast(groups))  # a few groups
@@ -199,9 +208,11 @@ def channel(cands: DataFrame, edits: DataFrame, contexts: DataFrame | None = Non
         logs = logs.withColumn("le", F.log(c / F.col("total")))
     else:
         logs = logs.withColumn("ctx", F.split_part("edit", F.lit("|"), F.lit(2))).join(contexts, "ctx", "left").withColumn("le", F.log(c / F.greatest(F.coalesce("cc", F.lit(0)), F.lit(1))))
-    rows = cands.withColumn("edit", F.try_element_at("edits", F.lit(1)))
-    near = rows.filter("edit is not null").join(logs.select("edit", "le", *by), "edit").groupBy("typo", "cand", "n", *by).agg(F.max("le").alias("lp")).withColumn("identity", F.lit(False))
-    same = rows.filter("edit is null").select("typo", "cand", "n", F.lit(0.0).alias("lp"), F.lit(True).alias("identity"))
-    if by:
-        same = same.crossJoin(F.broadcast(groups))
-    return near.select("typo", "cand", "n", *by, "lp", "identity").union(same.select("typo", "cand", "n", *by, "lp", "identity"))
+    rows = cands.crossJoin(F.broadcast(groups)) if by else cands
+    places = range(1, most + 1)
+    rows = rows.select("typo", "cand", "n", *by, *(F.try_element_at("edits", F.lit(i)).alias(f"e{i}") for i in places))
+    for i in places:
+        rows = rows.join(logs.select(F.col("edit").alias(f"e{i}"), F.col("le").alias(f"l{i}"), *by), [f"e{i}", *by], "left")
+    sequence = sum((F.coalesce(f"l{i}", F.lit(0.0)) for i in places), F.lit(0.0))
+    out = rows.groupBy("typo", "cand", "n", *by).agg(F.max(sequence).alias("lp"), F.max(F.col("e1").isNull()).alias("identity"))
+    return out.select("typo", "cand", "n", *by, F.when(F.col("identity"), 0.0).otherwise(F.col("lp")).alias("lp"), "identity")
