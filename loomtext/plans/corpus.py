@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.operators import stats, text
+from loomtext.operators.latest import latest
 from loomtext.sources.tables import table
 
 
@@ -102,8 +103,9 @@ def tokenized_sentences(spark, sf):
 
 
 def stored_stats(spark, sf):
-    """G1 on the tokenised paragraphs as stored, by source, beside nothing but their own rows."""
-    rows = table(spark, sf, "process_corpus").filter("sentences is not null").select("source", F.filter("sentences", lambda s: F.size(s) > 0).alias("s")).filter(F.size("s") > 0)
+    """G1 on the valid tokenised paragraphs as stored, by source."""
+    valid = latest(table(spark, sf, "process_corpus").select("paragraph_id", "source", "sentences", "ingested_at"), "paragraph_id", "ingested_at")
+    rows = valid.filter("sentences is not null").select("source", F.filter("sentences", lambda s: F.size(s) > 0).alias("s")).filter(F.size("s") > 0)
     per = rows.groupBy("source").agg(F.count("*").alias("paragraphs"), F.sum(F.size("s")).alias("sentences"), F.sum(F.size(F.flatten("s"))).alias("words"))
     chars = rows.select("source", F.explode(F.flatten("s")).alias("t")).groupBy(F.col("source").alias("_s")).agg(F.sum(F.length("t")).alias("characters"))
     return per.join(chars, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -160,7 +162,7 @@ SQL = {
     "sentence_length_hist_capped": TOKENS_SQL + _CAP,
     "sentence_length_pct": TOKENS_SQL + f"SELECT * FROM (SELECT length, n, round(100.0::DOUBLE * n / sum(n) OVER (), 6) AS percent FROM ({_CAP})) WHERE length <= 40",
     "tokenized_sentences": TOKENS_SQL + "SELECT doc_id, sent::BIGINT AS sent, string_agg(tok, ' ' ORDER BY pos) AS sentence FROM sents GROUP BY doc_id, sent",
-    "stored_stats": """WITH s AS (SELECT source, list_filter(sentences, lambda x: len(x) > 0) AS s FROM process_corpus WHERE sentences IS NOT NULL), r AS (SELECT * FROM s WHERE len(s) > 0)
+    "stored_stats": """WITH valid AS (SELECT * FROM process_corpus QUALIFY row_number() OVER (PARTITION BY paragraph_id ORDER BY ingested_at DESC) = 1), s AS (SELECT source, list_filter(sentences, lambda x: len(x) > 0) AS s FROM valid WHERE sentences IS NOT NULL), r AS (SELECT * FROM s WHERE len(s) > 0)
       SELECT source, count(*) AS paragraphs, sum(len(s))::BIGINT AS sentences, sum(len(flatten(s)))::BIGINT AS words, sum(list_sum(list_transform(flatten(s), lambda x: len(x))))::BIGINT AS characters FROM r GROUP BY source""",
     "systematic_sample": "SELECT doc_id, (p // 7)::BIGINT AS k FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents) WHERE p % 7 = 0 ORDER BY p LIMIT 100",
     "split_sizes": "SELECT CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'dev' ELSE 'test' END AS split, count(*) AS rows, sum(coalesce(len(text), 0))::BIGINT AS chars FROM documents GROUP BY 1",

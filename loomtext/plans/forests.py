@@ -99,7 +99,7 @@ def synthetic_regression(spark, sf):
     x = F.col("id") / 200.0 * 10.0 - 5.0
     rows = spark.range(200).select(x.alias("x"), (F.sin(x) + F.pmod(F.col("id") * 37, F.lit(21)) / 100.0 - 0.1).alias("y"))
     m = rows.agg(*trees.regression_metrics(F.col("y"), F.sin("x")))
-    return m.select("rows", *[F.round(c, 6).alias(c) for c in ("mse", "rmse", "mae", "r2")])
+    return m.select("rows", *[F.round(c, 9).alias(c) for c in ("mse", "rmse", "mae", "r2")])
 
 
 _MELT = "WITH m AS (SELECT l_extendedprice AS y, l_returnflag AS c, unnest([0, 1, 2]) AS fi, unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_discount, l_tax]) AS v FROM lineitem)"
@@ -124,7 +124,7 @@ SQL = {
     "best_split_entropy": _split_sql(_CLASSES, _GAIN(_ENT), 9),
     "best_split_xgb": _split_sql({"n": "count(*)", "g": "-sum(y)"}, f"0.5 * ({_XT('l')} + {_XT('r')} - {_XT('t')})", 2),
     "regression_metrics": "WITH e AS (SELECT l_extendedprice AS y, l_extendedprice - l_quantity * 1500.0::DOUBLE AS e FROM lineitem) SELECT count(*) AS rows, round(avg(e * e), 4) AS mse, round(sqrt(avg(e * e)), 4) AS rmse, round(avg(abs(e)), 4) AS mae, round(1 - avg(e * e) / var_pop(y), 4) AS r2 FROM e",
-    "synthetic_regression": "WITH r AS (SELECT id / 200.0::DOUBLE * 10.0 - 5.0 AS x, sin(id / 200.0::DOUBLE * 10.0 - 5.0) + ((id * 37) % 21) / 100.0::DOUBLE - 0.1::DOUBLE AS y FROM range(200) t(id)), e AS (SELECT y, y - sin(x) AS e FROM r) SELECT count(*) AS rows, round(avg(e * e), 6) AS mse, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae, round(1 - avg(e * e) / var_pop(y), 6) AS r2 FROM e",
+    "synthetic_regression": "WITH r AS (SELECT id / 200.0::DOUBLE * 10.0 - 5.0 AS x, sin(id / 200.0::DOUBLE * 10.0 - 5.0) + ((id * 37) % 21) / 100.0::DOUBLE - 0.1::DOUBLE AS y FROM range(200) t(id)), e AS (SELECT y, y - sin(x) AS e FROM r) SELECT count(*) AS rows, round(avg(e * e), 9) AS mse, round(sqrt(avg(e * e)), 9) AS rmse, round(avg(abs(e)), 9) AS mae, round(1 - avg(e * e) / var_pop(y), 9) AS r2 FROM e",
     "percentiles": "SELECT i::INT AS i, round(v, 4) AS v FROM (SELECT unnest(range(5)) AS i, unnest(quantile_cont(v, [0.01, 0.25, 0.5, 0.75, 0.99])) AS v FROM (SELECT DISTINCT l_extendedprice AS v FROM lineitem))",
 }
 QUERIES = {f"best_split_{k}": _best(k) for k in ("mse", "gini", "entropy", "xgb")}

@@ -10,6 +10,10 @@ from loomtext.operators import tagging
 from loomtext.sources.tables import table
 
 
+NB_ALPHAS = (1.0, 0.3, 0.1, 0.03, 0.01)
+HMM_KS = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
+
+
 def tokens(spark, sf):
     """Sentences of all users; of every ten, the last but one is dev and the last test."""
     rows = table(spark, sf, "events").filter("event_type is not null and user_id is not null")
@@ -46,15 +50,34 @@ def nb_tag_greedy(spark, sf):
 
 
 def nb_tune(spark, sf):
-    """Accuracy on dev for the grid of alpha."""
+    """Accuracy on dev for the grid of alpha, the best one marked."""
     t = tokens(spark, sf)
     train, dev = t.filter("split = 'train'").drop("split"), t.filter("split = 'dev'").drop("split")
     out = None
-    for a in (1.0, 0.5, 0.1, 0.05, 0.01):
+    for a in NB_ALPHAS:
         lik, prior = tagging.nb_fit(train, a)
         x = tagging.overall(tagging.nb_tag_gold(dev, lik, prior)).select(F.lit(a).alias("alpha"), "accuracy")
         out = x if out is None else out.union(x)
-    return out
+    first = F.row_number().over(Window.orderBy(F.desc("accuracy"), F.desc("alpha"))) == 1  # five rows
+    return out.withColumn("best", first)
+
+
+def hmm_tune(spark, sf):
+    """Accuracy on dev of three decoders for the grid of k, tokens in which the two
+    directions differ, and the k of the greatest sum of accuracies (C12 O10)."""
+    t = tokens(spark, sf)
+    train, dev = t.filter("split = 'train'").drop("split"), t.filter("split = 'dev'").drop("split")
+    emit, unk = tagging.hmm_emissions(train)
+    out = None
+    for k in HMM_KS:
+        runs = {how: tagging.hmm_decode(dev, tagging.hmm_transitions(train, k), emit, unk, how) for how in ("forward", "backward", "posterior")}
+        all_ = runs["forward"].select("sent", "pos", "tag", F.col("pred").alias("forward"))
+        for how in ("backward", "posterior"):
+            all_ = all_.join(runs[how].select("sent", "pos", F.col("pred").alias(how)), ["sent", "pos"])
+        x = all_.agg(F.lit(k).alias("k"), *[F.round(F.avg((F.col("tag") == F.col(how)).cast("double")), 6).alias(how) for how in runs], F.count_if(F.col("forward") != F.col("backward")).alias("differ"))
+        out = x if out is None else out.union(x)
+    first = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("forward") + F.col("backward") + F.col("posterior"), 6)), "k")) == 1  # six rows
+    return out.withColumn("best", first)
 
 
 def hmm_transitions(spark, sf):
@@ -174,5 +197,31 @@ SQL = {
       fin AS (SELECT sent, arg_max(path, s + ln(x.forward)) AS path FROM v JOIN trans x ON x.a = v.t AND x.b = '</s>' WHERE pos = n GROUP BY sent)
       SELECT sent, pos, tag, path[pos] AS pred FROM test JOIN fin USING (sent)""",
 }
-QUERIES = {f.__name__: f for f in (nb_fit, nb_tag_gold, nb_tag_greedy, nb_tune, hmm_transitions, hmm_emissions, hmm_joint, tag_prf, tag_overall, tag_confusion, top_confusions, confusion_matrix, known_accuracy, tag_agreement)}
+_TUNE = lambda a: NB_SQL.replace("0.1::DOUBLE", f"{a}::DOUBLE").replace("m.split = 'test'", "m.split = 'dev'")
+SQL["nb_tune"] = "WITH " + ", ".join(f"a{i} AS ({_TUNE(a)} SELECT {a}::DOUBLE AS alpha, round(avg((tag = pred)::INT), 6) AS accuracy FROM pred)" for i, a in enumerate(NB_ALPHAS)) + " SELECT *, row_number() OVER (ORDER BY accuracy DESC, alpha DESC) = 1 AS best FROM (" + " UNION ALL ".join(f"SELECT * FROM a{i}" for i in range(len(NB_ALPHAS))) + ")"
+SQL["confusion_matrix"] = NB_SQL + " SELECT * FROM (PIVOT (SELECT tag, pred FROM pred) ON pred USING count(*) GROUP BY tag)"
+#: The path of the words read backwards, each tag given the next one.
+SQL["viterbi_backward"] = HMM_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+      test AS (SELECT sent, pos, word, tag, count(*) OVER (PARTITION BY sent) AS n FROM tok WHERE split = 'test'),
+      v AS (SELECT sent, pos, le.tag AS t, ln(x.backward) + le AS s, [le.tag] AS path FROM test JOIN le USING (word) JOIN trans x ON x.b = '</s>' AND x.a = le.tag WHERE pos = n
+        UNION ALL SELECT sent, pos, t, s + le AS s, list_prepend(t, path) FROM (SELECT v.sent, v.pos - 1 AS pos, x.a AS t, max(v.s + ln(x.backward)) AS s, arg_max(v.path, v.s + ln(x.backward)) AS path, any_value(test.word) AS word FROM v JOIN trans x ON x.b = v.t AND x.a <> '<s>' JOIN test ON test.sent = v.sent AND test.pos = v.pos - 1 GROUP BY v.sent, v.pos, x.a) q JOIN le ON le.word = q.word AND le.tag = q.t),
+      fin AS (SELECT sent, arg_max(path, s + ln(x.backward)) AS path FROM v JOIN trans x ON x.b = v.t AND x.a = '<s>' WHERE pos = 1 GROUP BY sent)
+      SELECT sent, pos, tag, path[pos] AS pred FROM test JOIN fin USING (sent)"""
+#: What leads to and from every tag at every place: in sum (posterior) or at most.
+_SIDES = lambda fold: HMM_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+      test AS (SELECT sent, pos, word, tag, count(*) OVER (PARTITION BY sent) AS n FROM tok WHERE split = 'test'),
+      al AS (SELECT sent, pos, le.tag AS t, ln(x.forward) + le AS s FROM test JOIN le USING (word) JOIN trans x ON x.a = '<s>' AND x.b = le.tag WHERE pos = 1
+        UNION ALL SELECT q.sent, q.pos, q.t, {fold} + any_value(le) FROM (SELECT al.sent, al.pos + 1 AS pos, x.b AS t, al.s + ln(x.forward) AS y, test.word, max(al.s + ln(x.forward)) OVER (PARTITION BY al.sent, al.pos, x.b) AS top FROM al JOIN trans x ON x.a = al.t AND x.b <> '</s>' JOIN test ON test.sent = al.sent AND test.pos = al.pos + 1) q JOIN le ON le.word = q.word AND le.tag = q.t GROUP BY q.sent, q.pos, q.t),
+      be AS (SELECT sent, pos, x.a AS t, ln(x.forward) AS s FROM test JOIN trans x ON x.b = '</s>' AND x.a <> '<s>' WHERE pos = n
+        UNION ALL SELECT q.sent, q.pos, q.t, {fold} FROM (SELECT be.sent, be.pos - 1 AS pos, x.a AS t, be.s + ln(x.forward) + le.le AS y, max(be.s + ln(x.forward) + le.le) OVER (PARTITION BY be.sent, be.pos, x.a) AS top FROM be JOIN test ON test.sent = be.sent AND test.pos = be.pos JOIN le ON le.word = test.word AND le.tag = be.t JOIN trans x ON x.b = be.t AND x.a <> '<s>' WHERE be.pos > 1) q GROUP BY q.sent, q.pos, q.t),
+      best AS (SELECT sent, pos, al.t AS pred FROM al JOIN be USING (sent, pos, t) QUALIFY row_number() OVER (PARTITION BY sent, pos ORDER BY round(al.s + be.s, 9) DESC, al.t) = 1)
+      SELECT sent, pos, tag, pred FROM test JOIN best USING (sent, pos)"""
+SQL["hmm_posterior"] = _SIDES("any_value(top) + ln(sum(CASE WHEN top = '-inf'::DOUBLE THEN 1 ELSE exp(y - top) END))")
+SQL["hmm_max_marginal"] = _SIDES("any_value(top)")
+SQL["nb_tag_greedy"] = NB_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+      fixed AS (SELECT m.sent, m.pos, u.tag AS t, sum(coalesce(ll, unseen)) + any_value(ln(tags.n / (SELECT sum(n) FROM tags))) AS s FROM melt m JOIN uns u ON u.feature = m.feature LEFT JOIN lik ON lik.feature = m.feature AND lik.value = m.value AND lik.tag = u.tag JOIN tags ON tags.tag = u.tag WHERE m.split = 'test' AND m.feature <> 'ptag' GROUP BY ALL),
+      walk AS (SELECT sent, 1::BIGINT AS pos, arg_min(t, (-round(s, 9), t)) AS prev FROM (SELECT f.sent, f.t, f.s + coalesce(ll, unseen) AS s FROM fixed f JOIN uns ON uns.feature = 'ptag' AND uns.tag = f.t LEFT JOIN lik ON lik.feature = 'ptag' AND lik.value = '<s>' AND lik.tag = f.t WHERE pos = 1) GROUP BY sent
+        UNION ALL SELECT sent, pos, arg_min(t, (-round(s, 9), t)) FROM (SELECT f.sent, f.pos, f.t, f.s + coalesce(ll, unseen) AS s FROM walk JOIN fixed f ON f.sent = walk.sent AND f.pos = walk.pos + 1 JOIN uns ON uns.feature = 'ptag' AND uns.tag = f.t LEFT JOIN lik ON lik.feature = 'ptag' AND lik.value = walk.prev AND lik.tag = f.t) GROUP BY sent, pos)
+      SELECT tok.sent, tok.pos, tok.tag, prev AS pred FROM tok JOIN walk USING (sent, pos)"""
+QUERIES = {f.__name__: f for f in (nb_fit, nb_tag_gold, nb_tag_greedy, nb_tune, hmm_tune, hmm_transitions, hmm_emissions, hmm_joint, tag_prf, tag_overall, tag_confusion, top_confusions, confusion_matrix, known_accuracy, tag_agreement)}
 QUERIES |= {"viterbi_forward": _decoded("forward"), "viterbi_backward": _decoded("backward"), "hmm_posterior": _decoded("posterior"), "hmm_max_marginal": _decoded("max_marginal")}

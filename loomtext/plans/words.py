@@ -61,10 +61,9 @@ def _counted(spark, sf):
 
 
 def wordpiece_scores(spark, sf):
-    """T11-T13 on the accepted words, the hundred best pairs."""
+    """T11-T13 on the accepted words."""
     words = _counted(spark, sf).select("n", "first", subword.pieces_of(F.col("word")).alias("pieces"))
-    s = subword.pair_scores(words).select("a", "b", "pair_freq", "freq_a", "freq_b", F.round("score", 12).alias("score"))
-    return s.orderBy(F.desc("score"), "a", "b").limit(100)
+    return subword.pair_scores(words).select("a", "b", "pair_freq", "freq_a", "freq_b", F.round("score", 12).alias("score"))
 
 
 def wordpiece_train(spark, sf):
@@ -89,8 +88,11 @@ def _eval_weights(spark, sf):
 
 
 def tfidf_pairs(spark, sf):
-    """C1 G23 J13 on the evaluation items."""
-    return vector.cosine_pairs(_eval_weights(spark, sf)).select("a", "b", F.round("cosine", 6).alias("cosine"), F.round("distance", 6).alias("distance"))
+    """C1 G23 J13 on the evaluation items (a table of fixed size), pairs without a
+    common term too."""
+    w = _eval_weights(spark, sf)
+    related = vector.cosine_pairs(w)
+    return related.unionByName(vector.unrelated_pairs(w, related)).select("a", "b", F.round("cosine", 6).alias("cosine"), F.round("distance", 6).alias("distance"))
 
 
 def tfidf_closest(spark, sf):
@@ -201,7 +203,7 @@ tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term,
 w AS (SELECT id, term, tf * log10((SELECT count(*) FROM eval_items) / df) AS w FROM tf JOIN df USING (term)),
 norm AS (SELECT id, sum(w * w) AS sq FROM w GROUP BY id),
 dot AS (SELECT x.id AS a, y.id AS b, sum(x.w * y.w) AS dot FROM w x JOIN w y USING (term) WHERE x.id < y.id AND x.w > 0 GROUP BY ALL),
-pairs AS (SELECT a, b, round(dot / sqrt(n.sq * m.sq), 6) AS cosine, round(sqrt(greatest(n.sq + m.sq - 2 * dot, 0)), 6) AS distance FROM dot JOIN norm n ON n.id = a JOIN norm m ON m.id = b)"""
+pairs AS (SELECT n.id AS a, m.id AS b, CASE WHEN dot IS NULL THEN 0 ELSE round(dot / sqrt(n.sq * m.sq), 6) END AS cosine, round(sqrt(greatest(n.sq + m.sq - 2 * coalesce(dot, 0), 0)), 6) AS distance FROM norm n JOIN norm m ON n.id < m.id LEFT JOIN dot ON n.id = a AND m.id = b)"""
 CASES_SQL = "WITH cases AS (SELECT * FROM sample_predictions QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY predicted_at DESC) = 1), ok AS (SELECT * FROM cases WHERE input IS NOT NULL AND ground_truth IS NOT NULL)"
 _BAYES = " UNION ALL ".join(
     f"""SELECT lang, {a}::DOUBLE AS alpha, x_digit, x_mark, x_link, (n / (SELECT sum(n) FROM c)) * (CASE WHEN x_digit THEN (d + {a}) / (n + 2 * {a}::DOUBLE) ELSE 1 - (d + {a}) / (n + 2 * {a}::DOUBLE) END)
@@ -216,7 +218,7 @@ SQL = {
     "wordpiece_scores": VOCAB_SQL + """, p AS (SELECT word, n, unnest(string_split(word, '')) AS c, generate_subscripts(string_split(word, ''), 1) AS i FROM vocabulary WHERE regexp_full_match(word, '[a-z]+')),
       q AS (SELECT word, n, i, CASE WHEN i > 1 THEN '##' ELSE '' END || c AS a FROM p), r AS (SELECT *, lead(a) OVER (PARTITION BY word ORDER BY i) AS b FROM q),
       s AS (SELECT a, sum(n)::BIGINT AS f FROM q GROUP BY a), t AS (SELECT a, b, sum(n)::BIGINT AS pair_freq FROM r WHERE b IS NOT NULL GROUP BY a, b)
-      SELECT t.a, t.b, pair_freq, x.f AS freq_a, y.f AS freq_b, round(pair_freq / (x.f * y.f), 12) AS score FROM t JOIN s x ON x.a = t.a JOIN s y ON y.a = t.b ORDER BY score DESC, 1, 2 LIMIT 100""",
+      SELECT t.a, t.b, pair_freq, x.f AS freq_a, y.f AS freq_b, round(pair_freq / (x.f * y.f), 12) AS score FROM t JOIN s x ON x.a = t.a JOIN s y ON y.a = t.b""",
     "wordpiece_train": "SELECT * FROM (VALUES (1, '##s + ##t -> ##st', round(3 / 9, 9), 0), (2, 'l + ##o -> lo', 0.1::DOUBLE, 0)) v(step, merged, score, ties)",
     "tfidf_pairs": PAIRS_SQL + " SELECT a, b, cosine, distance FROM pairs",
     "tfidf_closest": PAIRS_SQL + ", p AS (SELECT * FROM pairs WHERE distance > 0), m AS (SELECT max(cosine) AS c, min(distance) AS d FROM p) SELECT a, b, cosine, distance FROM p, m WHERE cosine = c OR distance <= d + 1e-12",
@@ -235,5 +237,6 @@ SQL = {
       SELECT case_id, done AS segmented FROM g WHERE rest = ''""",
     "seg_metrics": CASES_SQL + ", r AS (SELECT * FROM ok WHERE greedy IS NOT NULL AND dp IS NOT NULL) " + " UNION ALL ".join(f"SELECT '{m}' AS method, count(*) AS cases, round(avg((ground_truth = {m})::INT), 6) AS exact, round(avg(lv), 6) AS distance, round(avg(lv / greatest(len(ground_truth), 1)), 6) AS normalised FROM (SELECT *, levenshtein_chars({m}, ground_truth) AS lv FROM r)" for m in ("greedy", "dp")),
 }
+SQL["fst_transitions"] = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in morph.transitions()) + ") v(state, symbol, next, output)"
 del SQL["seg_metrics"]  # the other engine's edit distance counts bytes
 QUERIES = {f.__name__: f for f in (dfa_verdicts, fst_analyse, fst_summary, fst_generate, fst_inverse, fst_transitions, wordpiece_scores, wordpiece_train, wordpiece_tokenize, tfidf_pairs, tfidf_closest, bernoulli_nb, kn_bigram_exact, seg_greedy, seg_dp, seg_metrics, seg_metrics_ours)}
