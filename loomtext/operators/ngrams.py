@@ -7,9 +7,16 @@ order 4, and one scan of the text feeds them all.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.functions.lineage import cut
+
 BOS, EOS, UNK = "<s>", "</s>", "<UNK>"
 W = ["w0", "w1", "w2", "w3"]
 
@@ -21,14 +28,37 @@ def vocabulary(train: DataFrame, min_count: int = 2) -> DataFrame:
     return kept.union(marks).distinct()
 
 
-def mapped(sentences: DataFrame, vocab: DataFrame) -> DataFrame:
-    """`words` of every sentence with unknown ones replaced (F4 J1): distinct words
-    are looked up, and only those that are unknown come back to the sentences."""
-    held = sentences.withColumn("_id", F.monotonically_increasing_id())
-    known = vocab.withColumnRenamed("word", "w")
-    words = held.select("_id", "split", F.posexplode("words").alias("pos", "w")).join(known.withColumn("known", F.lit(True)), "w", "left")
-    back = words.groupBy("_id", "split").agg(F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("known"), F.col("w")).otherwise(UNK).alias("w")))).alias("s"))
-    return back.select("split", F.col("s.w").alias("words"))
+#: A vocabulary is broadcast up to this many words, counted.
+BROADCAST_WORDS = 1_000_000
+
+
+def mapped(sentences: DataFrame, vocab: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """`words` of every sentence with unknown ones replaced (F4 J1). A vocabulary of up
+    to `broadcast_words` words, counted, is sent to the tasks and looked up where the
+    sentences are, without a shuffle. Beyond, only the places of unknown words are
+    looked for, by their distinct words, and come back to the sentences that have any."""
+    schema = sentences.select("split", "words").schema
+    if vocab.limit(broadcast_words + 1).count() <= broadcast_words:
+        known = sentences.sparkSession.sparkContext.broadcast(pa.array([r["word"] for r in vocab.collect()], pa.string()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words = batch.column(1)
+                flat = words.flatten()
+                there = pc.is_in(flat, value_set=known.value)
+                size = pc.list_value_length(words)
+                ends = np.cumsum(np.asarray(pc.fill_null(size, 0)))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pc.if_else(there, flat.cast(pa.string()), UNK))
+                yield pa.record_batch({"split": batch.column(0), "words": lists})
+
+        return sentences.select("split", "words").mapInArrow(run, schema)
+    held = cut(sentences.select("split", "words").withColumn("_id", F.monotonically_increasing_id()))
+    places = held.select("_id", F.posexplode("words").alias("pos", "word"))
+    unknown = places.select("word").distinct().join(vocab, "word", "left_anti")
+    # unknown words are rare ones: no key is hot
+    at = places.join(unknown, "word", "left_semi").groupBy("_id").agg(F.collect_set("pos").alias("ps"))
+    masked = F.transform("words", lambda w, i: F.when(F.array_contains("ps", i), F.lit(UNK)).otherwise(w))
+    return held.join(at, "_id", "left").select("split", F.when(F.col("ps").isNull(), F.col("words")).otherwise(masked).alias("words"))
 
 
 def grams(sentences: DataFrame) -> DataFrame:

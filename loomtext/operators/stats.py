@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.functions.lineage import cut
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0 or nothing was counted."""
@@ -61,18 +63,35 @@ def top(df: DataFrame, count: str, key: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(count), F.asc(key)).limit(n)
 
 
-def running_budget(df: DataFrame, order: str, size: Column, budget: int, batch: int, blocks: int = 64) -> DataFrame:
+#: Rows of a range that one task numbers, about.
+RANGE_ROWS = 1_000_000
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Add `name`, the place of each row in `order`, from 0. Ranges of some RANGE_ROWS
+    rows are numbered each by itself, and the sizes of the ranges before are added. The
+    ranges are written once, so that both branches see the same ones."""
+    ranges = max(1, -(-df.count() // RANGE_ROWS))
+    ranged = cut(df.repartitionByRange(max(ranges, 8), order).withColumn("_block", F.spark_partition_id()))
+    per = ranged.groupBy("_block").agg(F.count("*").alias("_n"))
+    ahead = per.select("_block", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_block")) - F.col("_n")).alias("_before"))  # a row a range
+    rank = F.row_number().over(Window.partitionBy("_block").orderBy(order))
+    return ranged.withColumn("_rn", rank).join(F.broadcast(ahead), "_block").withColumn(name, F.col("_before") + F.col("_rn") - 1).drop("_block", "_rn", "_before")
+
+
+def running_budget(df: DataFrame, order: str, size: Column, budget: int, batch: int) -> DataFrame:
     """Rows up to the batch in which the running total of `size` passes `budget`;
     the budget is tested once for each batch of `batch` rows in `order` (K1, W8).
 
     The running total needs no single task over all rows: rows are numbered within
-    ranges of `order`, and the totals of the ranges are added up over few rows."""
-    ranged = df.withColumn("_size", size).repartitionByRange(blocks, order).withColumn("_block", F.spark_partition_id())
-    within = Window.partitionBy("_block").orderBy(order)
-    numbered = ranged.withColumn("_rn", F.row_number().over(within))
-    per = numbered.groupBy("_block").agg(F.count("*").alias("_n"))
-    ahead = per.withColumn("_before", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_block")) - F.col("_n")).select("_block", "_before")
-    batched = numbered.join(F.broadcast(ahead), "_block").withColumn("_batch", F.floor((F.col("_before") + F.col("_rn") - 1) / batch))
-    totals = batched.groupBy("_batch").agg(F.sum("_size").alias("_s"))
-    upto = totals.withColumn("_total", F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_batch")) - F.col("_s")).filter(F.col("_total") < budget).select("_batch", "_total")
-    return batched.join(upto, "_batch", "left_semi").drop("_size", "_block", "_rn", "_before", "_batch")
+    ranges of `order`, and totals of batches are added up within stretches of batches
+    first, then over the stretches."""
+    batched = numbered(df.withColumn("_size", size), order, "_at").withColumn("_batch", F.floor(F.col("_at") / batch))
+    totals = batched.groupBy("_batch").agg(F.sum("_size").alias("_s")).withColumn("_stretch", F.floor(F.col("_batch") / RANGE_ROWS))
+    totals = cut(totals)
+    wide = totals.groupBy("_stretch").agg(F.sum("_s").alias("_t"))
+    ahead = wide.select("_stretch", (F.sum("_t").over(Window.partitionBy(F.lit(0)).orderBy("_stretch")) - F.col("_t")).alias("_ahead"))  # a row for a million batches
+    own = F.sum("_s").over(Window.partitionBy("_stretch").orderBy("_batch")) - F.col("_s")
+    # a batch is in as long as the budget was not passed before it: all up to one batch
+    last = totals.withColumn("_own", own).join(F.broadcast(ahead), "_stretch").filter(F.col("_own") + F.col("_ahead") < budget).agg(F.max("_batch").alias("m")).first()["m"]
+    return batched.filter(F.col("_batch") <= F.lit(-1 if last is None else last)).drop("_size", "_at", "_batch")

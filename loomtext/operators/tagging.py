@@ -8,10 +8,12 @@ over parameter tables that have as many rows as tags and known words.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,8 +116,9 @@ class Hmm:
                 self.emit.setdefault(w, np.full(n, -np.inf))[at[t]] = math.log(p)
         self.n = n
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        return np.stack([self.emit.get(w, self.unk) for w in words])
+    def scores(self, words: list[str] | np.ndarray) -> np.ndarray:
+        """The emission vectors of the words; vectors stay as they are."""
+        return words if isinstance(words, np.ndarray) else np.stack([self.emit.get(w, self.unk) for w in words])
 
     def _trellis(self, e: np.ndarray, step: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[int]:
         best, back = first + e[0], []
@@ -128,12 +131,12 @@ class Hmm:
             at.append(int(b[at[-1]]))
         return at[::-1]
 
-    def forward(self, words: list[str]) -> list[int]:
+    def forward(self, words: list[str] | np.ndarray) -> list[int]:
         """Viterbi from left to right."""
         n = self.n
         return self._trellis(self.scores(words), self.fwd[:n, :n], self.fwd[n, :n], self.fwd[:n, n])
 
-    def backward(self, words: list[str]) -> list[int]:
+    def backward(self, words: list[str] | np.ndarray) -> list[int]:
         """Viterbi from right to left over P(previous | next)."""
         n = self.n
         return self._trellis(self.scores(words)[::-1], self.bwd[:n, :n].T, self.bwd[:n, n], self.bwd[n, :n])[::-1]
@@ -147,7 +150,7 @@ class Hmm:
             b.append(fold(step + (x + b[-1])[None, :], 1))
         return np.array(a), np.array(b[::-1])
 
-    def posterior(self, words: list[str]) -> list[int]:
+    def posterior(self, words: list[str] | np.ndarray) -> list[int]:
         """The tag of greatest posterior at every position."""
 
         def fold(x: np.ndarray, axis: int) -> np.ndarray:
@@ -159,26 +162,38 @@ class Hmm:
         a, b = self._sides(self.scores(words), fold)
         return (a + b).argmax(1).tolist()
 
-    def max_marginal(self, words: list[str]) -> list[int]:
+    def max_marginal(self, words: list[str] | np.ndarray) -> list[int]:
         """The tag on the single best path at every position (C11)."""
         a, b = self._sides(self.scores(words), lambda x, axis: x.max(axis))
         return (a + b).argmax(1).tolist()
 
 
 def hmm_decode(tokens: DataFrame, trans: DataFrame, emit: DataFrame, unk: DataFrame, how: str) -> DataFrame:
-    """`pred` of every token by one of forward, backward, posterior, max_marginal; a
-    sentence is one group, its tags in sorted order decide ties."""
-    model = Hmm(trans.toPandas(), emit.toPandas(), unk.toPandas())
+    """`pred` of every token by one of forward, backward, posterior, max_marginal; tags
+    in sorted order decide ties. Emissions are joined to the tokens as one vector a
+    word, sentences gathered as arrays and decoded in batches; only tables of tags, and
+    of pairs of tags, come to the driver."""
+    per = unk.toPandas()
+    model = Hmm(trans.toPandas(), pd.DataFrame({"word": [], "tag": [], "p": []}), per)
     held = tokens.sparkSession.sparkContext.broadcast(model)
+    none = F.lit(float("-inf"))
+    vectors = emit.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.log("p")))).alias("m"))
+    vectors = vectors.select("word", F.transform(F.array(*map(F.lit, model.tags)), lambda t: F.coalesce(F.try_element_at("m", t), none)).alias("e"))
+    rows = tokens.select("sent", "pos", "word", "tag").join(vectors, "word", "left").withColumn("e", F.coalesce("e", F.array(*map(F.lit, model.unk.tolist()))))
+    whole = rows.groupBy("sent").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "tag", "e"))).alias("s"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        return pdf.assign(pred=[m.tags[i] for i in getattr(m, how)(pdf.word.tolist())])
+        for batch in batches:
+            at = np.asarray(pc.list_value_length(batch.column(1)))
+            tok = batch.column(1).flatten()
+            e = np.asarray(tok.field("e").flatten()).reshape(-1, m.n)
+            ends = np.cumsum(at)
+            pred = [m.tags[i] for a, b in zip(ends - at, ends, strict=True) for i in getattr(m, how)(e[a:b])]
+            yield pa.record_batch({"sent": batch.column(0).take(pa.array(np.repeat(np.arange(len(at)), at))), "pos": tok.field("pos"), "word": tok.field("word"), "tag": tok.field("tag"), "pred": pa.array(pred, pa.string())})
 
-    kind = tokens.schema["sent"].dataType.simpleString()
-    pos = tokens.schema["pos"].dataType.simpleString()
-    return tokens.select("sent", "pos", "word", "tag").groupBy("sent").applyInPandas(run, f"sent {kind}, pos {pos}, word string, tag string, pred string")
+    kind, pos = tokens.schema["sent"].dataType.simpleString(), tokens.schema["pos"].dataType.simpleString()
+    return whole.mapInArrow(run, f"sent {kind}, pos {pos}, word string, tag string, pred string")
 
 
 def nb_decode(tokens: DataFrame, lik: DataFrame, prior: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.operators import stats, text
@@ -113,10 +113,7 @@ def stored_stats(spark, sf):
 
 def systematic_sample(spark, sf):
     """Every 7th document by id, up to 100 (S3 W6 Q5): a range numbering and a residue test."""
-    docs = table(spark, sf, "documents").select("doc_id").repartitionByRange(16, "doc_id").withColumn("b", F.spark_partition_id())
-    docs = docs.withColumn("rn", F.row_number().over(Window.partitionBy("b").orderBy("doc_id")))
-    ahead = docs.groupBy("b").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("b")) - F.col("n")).select("b", "before")
-    at = docs.join(F.broadcast(ahead), "b").select("doc_id", (F.col("before") + F.col("rn") - 1).alias("at"))
+    at = stats.numbered(table(spark, sf, "documents").select("doc_id"), "doc_id", "at")
     return at.filter(F.col("at") % 7 == 0).orderBy("at").limit(100).select("doc_id", (F.col("at") / 7).cast("long").alias("k"))
 
 

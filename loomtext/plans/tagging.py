@@ -223,5 +223,8 @@ SQL["nb_tag_greedy"] = NB_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
       walk AS (SELECT sent, 1::BIGINT AS pos, arg_min(t, (-round(s, 9), t)) AS prev FROM (SELECT f.sent, f.t, f.s + coalesce(ll, unseen) AS s FROM fixed f JOIN uns ON uns.feature = 'ptag' AND uns.tag = f.t LEFT JOIN lik ON lik.feature = 'ptag' AND lik.value = '<s>' AND lik.tag = f.t WHERE pos = 1) GROUP BY sent
         UNION ALL SELECT sent, pos, arg_min(t, (-round(s, 9), t)) FROM (SELECT f.sent, f.pos, f.t, f.s + coalesce(ll, unseen) AS s FROM walk JOIN fixed f ON f.sent = walk.sent AND f.pos = walk.pos + 1 JOIN uns ON uns.feature = 'ptag' AND uns.tag = f.t LEFT JOIN lik ON lik.feature = 'ptag' AND lik.value = walk.prev AND lik.tag = f.t) GROUP BY sent, pos)
       SELECT tok.sent, tok.pos, tok.tag, prev AS pred FROM tok JOIN walk USING (sent, pos)"""
+SQL["tag_agreement"] = "WITH runs AS (" + " UNION ALL ".join(f"SELECT '{run}' AS run, sent, pos, pred FROM ({SQL[q]}) q{i}" for i, (run, q) in enumerate((("nb_gold", "nb_tag_gold"), ("forward", "viterbi_forward"), ("posterior", "hmm_posterior")))) + """),
+      per AS (SELECT x.run AS a, y.run AS b, sent, avg((x.pred = y.pred)::INT) AS s, count(*) AS n, bool_or(x.pred <> y.pred) AS differs FROM runs x JOIN runs y USING (sent, pos) WHERE x.run < y.run GROUP BY ALL)
+      SELECT a, b, round(sum(s * n) / sum(n), 6) AS agreement, count(*) FILTER (WHERE differs) AS sentences_apart FROM per GROUP BY a, b"""
 QUERIES = {f.__name__: f for f in (nb_fit, nb_tag_gold, nb_tag_greedy, nb_tune, hmm_tune, hmm_transitions, hmm_emissions, hmm_joint, tag_prf, tag_overall, tag_confusion, top_confusions, confusion_matrix, known_accuracy, tag_agreement)}
 QUERIES |= {"viterbi_forward": _decoded("forward"), "viterbi_backward": _decoded("backward"), "hmm_posterior": _decoded("posterior"), "hmm_max_marginal": _decoded("max_marginal")}
