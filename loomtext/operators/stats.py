@@ -67,26 +67,26 @@ def top(df: DataFrame, count: str, key: str, n: int) -> DataFrame:
 RANGE_ROWS = 1_000_000
 
 
-def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+def numbered(df: DataFrame, order: str, name: str, blocks: int = 8) -> DataFrame:
     """Add `name`, the place of each row in `order`, from 0. Ranges of some RANGE_ROWS
-    rows are numbered each by itself, and the sizes of the ranges before are added. The
+    rows, `blocks` at least, are numbered each by itself, and the sizes of those before are added. The
     ranges are written once, so that both branches see the same ones."""
-    ranges = max(1, -(-df.count() // RANGE_ROWS))
-    ranged = cut(df.repartitionByRange(max(ranges, 8), order).withColumn("_block", F.spark_partition_id()))
+    ranges = max(blocks, -(-df.count() // RANGE_ROWS))
+    ranged = cut(df.repartitionByRange(ranges, order).withColumn("_block", F.spark_partition_id()))
     per = ranged.groupBy("_block").agg(F.count("*").alias("_n"))
     ahead = per.select("_block", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_block")) - F.col("_n")).alias("_before"))  # a row a range
     rank = F.row_number().over(Window.partitionBy("_block").orderBy(order))
     return ranged.withColumn("_rn", rank).join(F.broadcast(ahead), "_block").withColumn(name, F.col("_before") + F.col("_rn") - 1).drop("_block", "_rn", "_before")
 
 
-def running_budget(df: DataFrame, order: str, size: Column, budget: int, batch: int) -> DataFrame:
+def running_budget(df: DataFrame, order: str, size: Column, budget: int, batch: int, blocks: int = 8) -> DataFrame:
     """Rows up to the batch in which the running total of `size` passes `budget`;
     the budget is tested once for each batch of `batch` rows in `order` (K1, W8).
 
     The running total needs no single task over all rows: rows are numbered within
     ranges of `order`, and totals of batches are added up within stretches of batches
     first, then over the stretches."""
-    batched = numbered(df.withColumn("_size", size), order, "_at").withColumn("_batch", F.floor(F.col("_at") / batch))
+    batched = numbered(df.withColumn("_size", size), order, "_at", blocks).withColumn("_batch", F.floor(F.col("_at") / batch))
     totals = batched.groupBy("_batch").agg(F.sum("_size").alias("_s")).withColumn("_stretch", F.floor(F.col("_batch") / RANGE_ROWS))
     totals = cut(totals)
     wide = totals.groupBy("_stretch").agg(F.sum("_s").alias("_t"))

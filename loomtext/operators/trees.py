@@ -16,6 +16,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.functions.lineage import cut, drop_cut
+from loomtext.operators.latest import fresh
+
 MAX_THRESHOLDS = 100
 STEPS = [0.01 + 0.98 * i / 99 for i in range(100)]
 MIN_GAIN = 1e-7
@@ -145,30 +148,53 @@ def grow(rows: DataFrame, features: list[str], y: Column, *, kind: str = "mse",
     return tree
 
 
+#: Chances of a row to be drawn at most 0, 1, 2 ... times into a sample of as many rows.
+DRAWN = [sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(8)]
+
+
+def bootstrap(key: Column, seed: int) -> Column:
+    """How often a row is drawn with replacement, by the hash of its key: Poisson of
+    mean 1, to which the draws of many rows tend."""
+    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    return sum(((u >= p).cast("int") for p in DRAWN), F.lit(0))
+
+
 def forest(rows: DataFrame, features: list[str], y: Column, key: Column, *, trees: int = 5, max_depth: int = 3) -> Column:
-    """The mean of trees on rows weighted 0, 1 or 2 by their key, each node drawing
-    the root of the features (D4 G35)."""
+    """The mean of trees on rows drawn with replacement, each node drawing the root of
+    the features (D4 G35)."""
     out = F.lit(0.0)
     for t in range(trees):
-        weight = F.pmod(F.xxhash64(key, F.lit(t)), F.lit(3)).cast("int")
-        out = out + grow(rows, features, y, max_depth=max_depth, weight=weight, per_node=max(1, int(math.sqrt(len(features)))), seed=t).predict()
+        out = out + grow(rows, features, y, max_depth=max_depth, weight=bootstrap(key, t), per_node=max(1, int(math.sqrt(len(features)))), seed=t).predict()
     return out / trees
 
 
-def boosted(rows: DataFrame, features: list[str], y: Column, *, rounds: int = 3, rate: float = 0.1, max_depth: int = 3) -> Column:
+def _rounds(rows: DataFrame, features: list[str], y: Column, rounds: int, rate: float, step, every: int) -> Column:
+    """Trees one after the other, each from what `step` makes of the target and the sum
+    so far. That sum is stored with the rows every so many rounds, so that the
+    expression a round evaluates does not grow with their number."""
+    start = float(rows.agg(F.avg(y)).first()[0] or 0.0)
+    target, sofar = fresh(rows, "_y"), fresh(rows, "_sum")
+    held = rows.select(*features, y.alias(target), F.lit(start).alias(sofar))
+    out, pending, stored = F.lit(start), F.lit(0.0), None
+    for i in range(rounds):
+        tree = F.lit(rate) * step(held, F.col(target), F.col(sofar) + pending).predict()
+        out, pending = out + tree, pending + tree
+        if (i + 1) % every == 0 and i + 1 < rounds:
+            held = stored = cut(held.withColumn(sofar, F.col(sofar) + pending), replaces=stored)
+            pending = F.lit(0.0)
+    if stored is not None:
+        drop_cut(stored)
+    return out
+
+
+def boosted(rows: DataFrame, features: list[str], y: Column, *, rounds: int = 3, rate: float = 0.1, max_depth: int = 3, every: int = 8) -> Column:
     """Trees on what is left of the target, from its mean."""
-    pred = F.lit(float(rows.agg(F.avg(y)).first()[0] or 0.0))
-    for _ in range(rounds):
-        pred = pred + F.lit(rate) * grow(rows, features, y - pred, max_depth=max_depth).predict()
-    return pred
+    return _rounds(rows, features, y, rounds, rate, lambda held, target, pred: grow(held, features, target - pred, max_depth=max_depth), every)
 
 
-def boosted_second_order(rows: DataFrame, features: list[str], y: Column, *, rounds: int = 3, rate: float = 0.1, max_depth: int = 3, lam: float = 1.0, gamma: float = 0.0) -> Column:
+def boosted_second_order(rows: DataFrame, features: list[str], y: Column, *, rounds: int = 3, rate: float = 0.1, max_depth: int = 3, lam: float = 1.0, gamma: float = 0.0, every: int = 8) -> Column:
     """Trees on gradients and hessians of the squared loss."""
-    pred = F.lit(float(rows.agg(F.avg(y)).first()[0] or 0.0))
-    for _ in range(rounds):
-        pred = pred + F.lit(rate) * grow(rows, features, pred - y, kind="xgb", max_depth=max_depth, lam=lam, gamma=gamma).predict()
-    return pred
+    return _rounds(rows, features, y, rounds, rate, lambda held, target, pred: grow(held, features, pred - target, kind="xgb", max_depth=max_depth, lam=lam, gamma=gamma), every)
 
 
 def regression_metrics(y: Column, pred: Column) -> list[Column]:

@@ -56,19 +56,19 @@ def tree_classify(spark, sf):
 def forest_predict(spark, sf):
     """D4 G35."""
     rows = _rows(spark, sf)
-    return _leaves(rows, trees.forest(rows, X, F.col("l_extendedprice"), F.concat_ws(":", "l_orderkey", "l_linenumber"), trees=3, max_depth=2))
+    return _leaves(rows, trees.forest(rows, X, F.col("l_extendedprice"), F.concat_ws(":", "l_orderkey", "l_linenumber"), trees=5))
 
 
 def gbt_predict(spark, sf):
     """D5."""
     rows = _rows(spark, sf)
-    return _leaves(rows, trees.boosted(rows, X, F.col("l_extendedprice"), rounds=2, max_depth=2))
+    return _leaves(rows, trees.boosted(rows, X, F.col("l_extendedprice"), rounds=5))
 
 
 def xgb_predict(spark, sf):
     """D6 D7."""
     rows = _rows(spark, sf)
-    return _leaves(rows, trees.boosted_second_order(rows, X, F.col("l_extendedprice"), rounds=2, max_depth=2))
+    return _leaves(rows, trees.boosted_second_order(rows, X, F.col("l_extendedprice"), rounds=5))
 
 
 def regression_models(spark, sf):

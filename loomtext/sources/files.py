@@ -1,25 +1,36 @@
 """Readers and sinks for the file formats of text corpora.
 
-Line numbers come from the file's own row index, so that files are read in parallel
-and a line keeps its number.
+Lines are numbered within the split of a file that a task reads, and the lines of the
+splits before are added, so that a file of any size is read in parallel.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOKENISED = "paragraph_id bigint, sentences array<array<string>>"
 _BLANK = r"[\s\p{Z}]+"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value) of text files, lines numbered from 0 in each file.
+def _located(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, value): lines with the split they are from, and an order within it."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+    return rows.withColumn("at", F.monotonically_increasing_id())
+
+
+def _running(lines: DataFrame, what: Column, name: str) -> DataFrame:
+    """Add the sum of `what` over a file's lines up to each one: within the split, and
+    over the splits before, of which there is a row each."""
+    within = Window.partitionBy("file", "block").orderBy("at")
+    per = lines.groupBy("file", "block").agg(F.sum(what).alias("_n"))
+    ahead = per.select("file", "block", (F.sum("_n").over(Window.partitionBy("file").orderBy("block")) - F.col("_n")).alias("_before"))
+    return lines.withColumn(name, F.sum(what).over(within)).join(ahead, ["file", "block"]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
 
-    A text source has no row index, so each file is read whole by the line splitter
-    of one task, as its lines depend on what came before; files are read in parallel."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line", "value"))
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of text files, lines numbered from 0 in each file."""
+    return _running(_located(spark, path), F.lit(1), "n").select("file", (F.col("n") - 1).alias("line"), "value")
 
 
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
@@ -47,11 +58,11 @@ def read_counts(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Data
 def read_tagged(spark: SparkSession, path: str) -> DataFrame:
     """`word<TAB>tag` lines, a blank line between sentences: (file, sent, pos, word,
     tag); what follows the last blank line is a sentence too (S10)."""
-    lines = read_lines(spark, path)
-    by_file = Window.partitionBy("file").orderBy("line")
-    part = lines.withColumn("sent", F.sum((F.trim("value") == "").cast("long")).over(by_file)).filter(F.trim("value") != "")
+    blank = (F.trim("value") == "").cast("long")
+    part = _running(_located(spark, path), blank, "sent").filter(F.trim("value") != "")
     cells = F.split("value", "\t")
-    return part.select("file", "sent", F.row_number().over(Window.partitionBy("file", "sent").orderBy("line")).alias("pos"), F.element_at(cells, 1).alias("word"), F.try_element_at(cells, F.lit(2)).alias("tag"))
+    place = Window.partitionBy("file", "sent").orderBy("block", "at")
+    return part.select("file", "sent", F.row_number().over(place).alias("pos"), F.element_at(cells, 1).alias("word"), F.try_element_at(cells, F.lit(2)).alias("tag"))
 
 
 def read_error_list(spark: SparkSession, path: str) -> DataFrame:

@@ -335,3 +335,31 @@ def test_closest_pair_may_share_no_term(spark, tmp_path):
     got = {(r["a"], r["b"]): r["distance"] for r in words.tfidf_closest(spark, str(tmp_path)).collect()}
     # 3 and 4: one term each, found in two of five texts
     assert got[3, 4] == round(2**0.5 * math.log10(5 / 2), 6) == min(got.values())
+
+
+def test_boosting_stores_what_it_has(spark):
+    rows = spark.createDataFrame([(float(i % 7), float(i % 3), float((i * 37) % 11)) for i in range(60)], "a double, b double, _sum double")
+    one = trees.boosted(rows, ["a", "b"], F.col("_sum"), rounds=5, max_depth=2, every=100)
+    two = trees.boosted(rows, ["a", "b"], F.col("_sum"), rounds=5, max_depth=2, every=2)
+    far = rows.agg(F.max(F.abs(one - two)).alias("d")).first()["d"]
+    assert far < 1e-9
+
+
+def test_bootstrap_draws_one_on_average(spark):
+    got = spark.range(20_000).select(trees.bootstrap(F.col("id"), 1).alias("w")).groupBy("w").count().collect()
+    share = {r["w"]: r["count"] / 20_000 for r in got}
+    assert abs(share[0] - math.exp(-1)) < 0.02 and abs(sum(w * s for w, s in share.items()) - 1) < 0.03
+
+
+def test_lines_keep_their_numbers_over_splits(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"".join(b"line %d\r\n" % i if i % 5 else b"\n" for i in range(2000)))
+    (tmp_path / "b.tsv").write_text("".join(f"w{i}\tT\n" if i % 4 else "\n" for i in range(1, 900)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = sorted((r["line"], r["value"]) for r in files.read_lines(spark, str(tmp_path / "a.txt")).collect())
+        tagged = files.read_tagged(spark, str(tmp_path / "b.tsv")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(i, f"line {i}" if i % 5 else "") for i in range(2000)]
+    assert sorted((r["sent"], r["pos"], r["word"]) for r in tagged) == sorted((i // 4, i % 4, f"w{i}") for i in range(1, 900) if i % 4)
