@@ -168,19 +168,22 @@ class Hmm:
         return (a + b).argmax(1).tolist()
 
 
-def hmm_decode(tokens: DataFrame, trans: DataFrame, emit: DataFrame, unk: DataFrame, how: str) -> DataFrame:
-    """`pred` of every token by one of forward, backward, posterior, max_marginal; tags
-    in sorted order decide ties. Emissions are joined to the tokens as one vector a
-    word, sentences gathered as arrays and decoded in batches; only tables of tags, and
-    of pairs of tags, come to the driver."""
-    per = unk.toPandas()
-    model = Hmm(trans.toPandas(), pd.DataFrame({"word": [], "tag": [], "p": []}), per)
-    held = tokens.sparkSession.sparkContext.broadcast(model)
-    none = F.lit(float("-inf"))
+def hmm_sentences(tokens: DataFrame, emit: DataFrame, unk: DataFrame) -> DataFrame:
+    """(sent, s: array of pos, word, tag, e): every sentence with the emission vectors
+    of its words, over the tags in sorted order; joined as one vector a word."""
+    per = {r["tag"]: r["p"] for r in unk.collect()}  # a row a tag
+    tags = sorted(per)
     vectors = emit.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.log("p")))).alias("m"))
-    vectors = vectors.select("word", F.transform(F.array(*map(F.lit, model.tags)), lambda t: F.coalesce(F.try_element_at("m", t), none)).alias("e"))
-    rows = tokens.select("sent", "pos", "word", "tag").join(vectors, "word", "left").withColumn("e", F.coalesce("e", F.array(*map(F.lit, model.unk.tolist()))))
-    whole = rows.groupBy("sent").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "tag", "e"))).alias("s"))
+    vectors = vectors.select("word", F.transform(F.array(*map(F.lit, tags)), lambda t: F.coalesce(F.try_element_at("m", t), F.lit(float("-inf")))).alias("e"))
+    rows = tokens.select("sent", "pos", "word", "tag").join(vectors, "word", "left").withColumn("e", F.coalesce("e", F.array(*[F.log(F.lit(float(per[t]))) for t in tags])))
+    return rows.groupBy("sent").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "tag", "e"))).alias("s"))
+
+
+def hmm_runs(sentences: DataFrame, trans: DataFrame, unk: DataFrame, *how: str) -> DataFrame:
+    """`sent`, `pos`, `word`, `tag` and a column of predicted tags for each way to decode
+    hmm_sentences(); only tables of tags, and of pairs of tags, come to the driver."""
+    model = Hmm(trans.toPandas(), pd.DataFrame({"word": [], "tag": [], "p": []}), unk.toPandas())
+    held = sentences.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -189,11 +192,18 @@ def hmm_decode(tokens: DataFrame, trans: DataFrame, emit: DataFrame, unk: DataFr
             tok = batch.column(1).flatten()
             e = np.asarray(tok.field("e").flatten()).reshape(-1, m.n)
             ends = np.cumsum(at)
-            pred = [m.tags[i] for a, b in zip(ends - at, ends, strict=True) for i in getattr(m, how)(e[a:b])]
-            yield pa.record_batch({"sent": batch.column(0).take(pa.array(np.repeat(np.arange(len(at)), at))), "pos": tok.field("pos"), "word": tok.field("word"), "tag": tok.field("tag"), "pred": pa.array(pred, pa.string())})
+            found = {h: pa.array([m.tags[i] for a, b in zip(ends - at, ends, strict=True) for i in getattr(m, h)(e[a:b])], pa.string()) for h in how}
+            yield pa.record_batch({"sent": batch.column(0).take(pa.array(np.repeat(np.arange(len(at)), at))), "pos": tok.field("pos"), "word": tok.field("word"), "tag": tok.field("tag")} | found)
 
-    kind, pos = tokens.schema["sent"].dataType.simpleString(), tokens.schema["pos"].dataType.simpleString()
-    return whole.mapInArrow(run, f"sent {kind}, pos {pos}, word string, tag string, pred string")
+    fields = {f.name: f.dataType.simpleString() for f in sentences.schema["s"].dataType.elementType.fields}
+    return sentences.mapInArrow(run, f"sent {sentences.schema['sent'].dataType.simpleString()}, pos {fields['pos']}, word string, tag string" + "".join(f", {h} string" for h in how))
+
+
+def hmm_decode(tokens: DataFrame, trans: DataFrame, emit: DataFrame, unk: DataFrame, how: str) -> DataFrame:
+    """`pred` of every token by one of forward, backward, posterior, max_marginal; tags
+    in sorted order decide ties. Sentences are gathered as arrays with the emission
+    vectors of their words and decoded in batches."""
+    return hmm_runs(hmm_sentences(tokens, emit, unk), trans, unk, how).withColumnRenamed(how, "pred")
 
 
 def nb_decode(tokens: DataFrame, lik: DataFrame, prior: DataFrame) -> DataFrame:

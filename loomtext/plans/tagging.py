@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from loomtext.functions.lineage import cut
 from loomtext.operators import tagging
 from loomtext.sources.tables import table
 
@@ -65,16 +66,14 @@ def nb_tune(spark, sf):
 def hmm_tune(spark, sf):
     """Accuracy on dev of three decoders for the grid of k, tokens in which the two
     directions differ, and the k of the greatest sum of accuracies (C12 O10)."""
-    t = tokens(spark, sf)
+    t = cut(tokens(spark, sf))
     train, dev = t.filter("split = 'train'").drop("split"), t.filter("split = 'dev'").drop("split")
     emit, unk = tagging.hmm_emissions(train)
-    out = None
+    sentences, unk = cut(tagging.hmm_sentences(dev, emit, unk)), cut(unk)
+    ways, out = ("forward", "backward", "posterior"), None
     for k in HMM_KS:
-        runs = {how: tagging.hmm_decode(dev, tagging.hmm_transitions(train, k), emit, unk, how) for how in ("forward", "backward", "posterior")}
-        all_ = runs["forward"].select("sent", "pos", "tag", F.col("pred").alias("forward"))
-        for how in ("backward", "posterior"):
-            all_ = all_.join(runs[how].select("sent", "pos", F.col("pred").alias(how)), ["sent", "pos"])
-        x = all_.agg(F.lit(k).alias("k"), *[F.round(F.avg((F.col("tag") == F.col(how)).cast("double")), 6).alias(how) for how in runs], F.count_if(F.col("forward") != F.col("backward")).alias("differ"))
+        runs = tagging.hmm_runs(sentences, tagging.hmm_transitions(train, k), unk, *ways)
+        x = runs.agg(F.lit(k).alias("k"), *[F.round(F.avg((F.col("tag") == F.col(how)).cast("double")), 6).alias(how) for how in ways], F.count_if(F.col("forward") != F.col("backward")).alias("differ"))
         out = x if out is None else out.union(x)
     first = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("forward") + F.col("backward") + F.col("posterior"), 6)), "k")) == 1  # six rows
     return out.withColumn("best", first)
